@@ -39,7 +39,7 @@ class Config:
     min_share: float = 0.4  #: lower bound of the share of toxic documents among those with the word
     context: int = 12  #: tokens kept on each side of a toxic training token
     clean_tokens: int = 100_000  #: training tokens drawn from clean documents
-    steps: int = 80
+    steps: int = 120
     threshold: float = 0.3
 
 
@@ -224,7 +224,7 @@ def _train(model: Model, h: np.ndarray, tag: np.ndarray, head: np.ndarray, cfg:
             g = grad[k] - (0.05 if k == 0 else 1e-3) * theta[k]
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
-            theta[k] = theta[k] + 0.15 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-3)
+            theta[k] = theta[k] + 0.3 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-3)
     full[:, used.astype(np.int64)] = theta[0][:, : len(used)]
     model.weights, model.bias, model.trans, model.start = full, float(theta[1]), theta[2], theta[3]
 
