@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from packspan.llm.language import op3_language
+from packspan.llm.quality import op2_quality
 from packspan.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_quality": op2_quality,
+        "op3_language": op3_language,
         "op9_toxicity": op9_toxicity,
     }
 
