@@ -5,7 +5,7 @@ convolved with filters of several widths, max-pooled over the window and put thr
 by their mean log-probability, weighted by the bytes they hold, so every byte of a long text counts. Training is by
 Adam on windows of a bounded sample of labelled texts.
 
-Memory: a task holds the activations of ``RUN_BYTES`` of text; the driver holds the sample's windows.
+Memory: a task holds the activations of ``RUN_BYTES`` of text; one task holds the sample's windows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packspan.llm import wordkernel as K
-from packspan.llm.learning import remainder
+from packspan.llm.learning import fit_in_task, remainder
 from packspan.runtime import ship, table
 
 RUN_BYTES = 1 << 17
@@ -157,9 +157,13 @@ def train(docs: DataFrame, learn: Column, cfg: Config = Config()) -> Model | Non
     known = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & learn
     drawn = docs.select("doc_id", "lang").where(known).orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.bound).select("doc_id").distinct()
     sample = docs.select("doc_id", "lang", "text").where(known & F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id")
-    rows = sorted((r.lang, bytes(r.window)) for r in sample.select("lang", "text").mapInArrow(_sampled(cfg), "lang string, window binary").collect())
+    return fit_in_task(sample.select("lang", "text").mapInArrow(_sampled(cfg), "lang string, window binary"), lambda rows: fit_rows(rows, cfg))
+
+
+def fit_rows(rows: list[tuple[str, bytes]], cfg: Config = Config()) -> Model | None:
     if not rows:
         return None
+    rows = sorted(rows)
     langs = sorted({r[0] for r in rows})
     y = np.array([langs.index(r[0]) for r in rows])
     return fit(np.stack([np.frombuffer(r[1], np.uint8) for r in rows]), y, langs, cfg)

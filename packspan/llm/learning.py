@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +73,17 @@ def keep_one_of_copies(sketches: np.ndarray) -> np.ndarray:
     for _ in range(8):
         leader = leader[leader]
     return np.flatnonzero(leader == np.arange(n))
+
+
+def fit_in_task(sample: DataFrame, fit: Callable[[list[tuple]], Any]) -> Any:
+    """``fit`` of the sample's rows, run in one task, so that the driver holds the model only.
+
+    The sample must be bounded, as ``labelled_sample`` is; a lost executor costs another try of that task.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(fit(rows)), 1)], pa.binary())], ["model"])
+
+    found = sample.repartition(1).mapInArrow(apply, "model binary").collect()
+    return pickle.loads(zlib.decompress(found[0][0])) if found else fit([])

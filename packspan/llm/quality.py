@@ -6,7 +6,8 @@ indicators. An indicator counts with the log of the ratio of its smoothed shares
 are brought to length 1, and a linear hinge-loss model is fitted to them by dual coordinate descent. Margins of a fifth
 of the sample, which the fit doesn't see, calibrate the score.
 
-Memory: a task holds one run of texts and the 2^18 weights; the driver holds ``Config.bound`` rows of at most 2^18 ids.
+Memory: a task holds one run of texts and the 2^18 weights; one task holds ``Config.bound`` rows of at most 2^18
+ids.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packspan.llm import wordkernel as K
-from packspan.llm.learning import labelled_sample, platt, remainder, sigmoid
+from packspan.llm.learning import fit_in_task, labelled_sample, platt, remainder, sigmoid
 from packspan.runtime import ship, table
 
 BITS = 18
@@ -150,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, cfg: Co
     """Fit on at most ``cfg.bound`` labelled rows that ``learn`` admits."""
     ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, learn, cfg.bound).mapInArrow(_features, "y int, ids binary")
-    return fit([(r.y, bytes(r.ids)) for r in sample.collect()], cfg)
+    return fit_in_task(sample, lambda rows: fit(rows, cfg))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -7,8 +7,8 @@ once. A two-state CRF over the word and its two neighbours is fitted to these to
 likelihood. Forward-backward marginals give each token's probability; a document's score is the calibrated chance that
 one of its tokens at least is toxic, and runs of tokens at 0.5 or more are its spans (byte offsets into the UTF-8 text).
 
-Memory: a task holds one run of texts (``wordkernel.RUN_BYTES``); the driver holds the sample (``Config.bound`` rows)
-and the model (a few MB). Neither grows with the corpus.
+Memory: a task holds one run of texts (``wordkernel.RUN_BYTES``), one task the sample (``Config.bound`` rows), and the
+driver the model (a few MB). None grows with the corpus.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packspan.llm import wordkernel as K
-from packspan.llm.learning import keep_one_of_copies, labelled_sample, platt, sigmoid
+from packspan.llm.learning import fit_in_task, keep_one_of_copies, labelled_sample, platt, sigmoid
 from packspan.runtime import ship
 
 #: ASCII letters and digits and all bytes of non-ASCII characters belong to tokens; the rest parts them.
@@ -270,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, cfg: Co
     """Fit on at most ``cfg.bound`` labelled rows that ``learn`` admits."""
     ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, learn, cfg.bound).mapInArrow(_features, "y int, tokens binary, sketch binary")
-    return fit([(r.y, bytes(r.tokens), bytes(r.sketch)) for r in sample.collect()], cfg)
+    return fit_in_task(sample, lambda rows: fit(rows, cfg))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = Config.threshold) -> DataFrame:
