@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from packspan.llm.language import op3_language
+from packspan.llm.neardup import op8_neardup
 from packspan.llm.quality import op2_quality
 from packspan.llm.toxicity import op9_toxicity
 
@@ -11,6 +12,7 @@ def queries() -> dict:
     return {
         "op2_quality": op2_quality,
         "op3_language": op3_language,
+        "op8_neardup": op8_neardup,
         "op9_toxicity": op9_toxicity,
     }
 
