@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from packspan.llm import decontam
 from packspan.llm.language import op3_language
 from packspan.llm.neardup import op8_neardup
 from packspan.llm.quality import op2_quality
+from packspan.llm.sentencepiece_fst import op1_sentencepiece
 from packspan.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_quality": op2_quality,
         "op3_language": op3_language,
+        "op5_decontamination": decontam.op5_decontamination,
         "op8_neardup": op8_neardup,
         "op9_toxicity": op9_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_decontamination": decontam.ORACLE,
+    }

@@ -118,12 +118,17 @@ def words(run: Run, lower: bool = True, space_table: np.ndarray = SPACE) -> Word
     after[last] = True
     starts = np.flatnonzero(before & ~space)
     ends = np.flatnonzero(after & ~space) + 1
+    return Words(low, starts, ends, segment_hashes(low, starts, ends), np.searchsorted(starts, offsets))
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the segments data[starts[k]:ends[k]]."""
+    n = len(data)
     power, inverse = _power_tables(n + 1)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_VALUE[low] * power[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return Words(low, starts, ends, hashes, np.searchsorted(starts, offsets))
+    np.cumsum(_VALUE[data] * power[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
