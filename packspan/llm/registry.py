@@ -7,6 +7,7 @@ from packspan.llm.language import op3_language
 from packspan.llm.neardup import op8_neardup
 from packspan.llm.quality import op2_quality
 from packspan.llm.sentencepiece_fst import op1_sentencepiece
+from packspan.llm.sstable import op7_sstable
 from packspan.llm.toxicity import op9_toxicity
 
 
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op2_quality": op2_quality,
         "op3_language": op3_language,
         "op5_decontamination": decontam.op5_decontamination,
+        "op7_sstable": op7_sstable,
         "op8_neardup": op8_neardup,
         "op9_toxicity": op9_toxicity,
     }
