@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from packspan.llm import decontam
+from packspan.llm import decontam, warc
 from packspan.llm.language import op3_language
 from packspan.llm.neardup import op8_neardup
 from packspan.llm.quality import op2_quality
 from packspan.llm.sentencepiece_fst import op1_sentencepiece
 from packspan.llm.sstable import op7_sstable
+from packspan.llm.sharding import op4_sharding
 from packspan.llm.toxicity import op9_toxicity
 
 
@@ -16,10 +17,12 @@ def queries() -> dict:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_quality": op2_quality,
         "op3_language": op3_language,
+        "op4_sharding": op4_sharding,
         "op5_decontamination": decontam.op5_decontamination,
         "op7_sstable": op7_sstable,
         "op8_neardup": op8_neardup,
         "op9_toxicity": op9_toxicity,
+        "op10_warc": warc.op10_warc,
     }
 
 

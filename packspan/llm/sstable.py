@@ -340,7 +340,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, tokenizer_file: str
                     if buckets[r] != now:
                         close()
                         now, path = buckets[r], f"part-{buckets[r]:06d}-{uuid.uuid4().hex[:12]}.sst"
-                        out = fs.open_output_stream(f"{base}/{path}")
+                        out = fs.open_output_stream(f"{base}/{path}", compression=None)
                         w = Writer(out)
                     w.add(key_of(ids[r]), np.concatenate([flat[first[r - run.lo] : first[r - run.lo + 1]], end]))
         close()
