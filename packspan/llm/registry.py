@@ -9,6 +9,7 @@ from packspan.llm.quality import op2_quality
 from packspan.llm.sentencepiece_fst import op1_sentencepiece
 from packspan.llm.sstable import op7_sstable
 from packspan.llm.sharding import op4_sharding
+from packspan.llm.vectors import op6_vectors
 from packspan.llm.toxicity import op9_toxicity
 
 
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op3_language": op3_language,
         "op4_sharding": op4_sharding,
         "op5_decontamination": decontam.op5_decontamination,
+        "op6_vectors": op6_vectors,
         "op7_sstable": op7_sstable,
         "op8_neardup": op8_neardup,
         "op9_toxicity": op9_toxicity,
