@@ -1,7 +1,66 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline: toxicity, language, near copies, benchmark passages, tokens.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last return the
+columns of documents. Null texts aren't toxic, are ``und`` and so go with the second stage; extra columns pass through.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packspan.llm import decontam, language, neardup, sentencepiece_fst, toxicity
+from packspan.llm.learning import remainder
+from packspan.runtime import Cut, table
+
+#: A document goes if no language reaches this probability over its whole text.
+LANGUAGE_SHARE = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose toxicity score is below the operator's threshold."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", remainder("doc_id", 4) != 2)
+    return toxicity.score(docs, model).where(~F.col("tox_flag")).select(*docs.columns)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents with a language: neither undetermined nor below ``LANGUAGE_SHARE``."""
+    model = language.train(docs, remainder("doc_id", 5) != 0)
+    told = language.identify(docs, model)
+    return told.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("lang_score") >= LANGUAGE_SHARE)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
+    found = neardup.near_duplicates(docs)
+    gone = Cut(found.where("not kept").select("doc_id"), "copies").df
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that contain no benchmark item (four fifths of its five-word shingles)."""
+    marked = decontam.mark(docs, table(spark, sf_dir, "benchmark"))
+    return marked.where(F.size("bench_hits") == 0).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, the ids, their number and crc32, and whether they decode to the text."""
+    encoded = sentencepiece_fst.encode(docs)
+    return encoded.select("doc_id", "lang", "source", F.col("sp_ids").alias("ids"), F.col("sp_tokens").alias("n_tokens"), F.col("sp_crc32").alias("ids_crc32"), F.col("sp_same").alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_language),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", tokenize),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and reread as the next one's input."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = Cut(stage(spark, docs, sf_dir), name).df
+    return STAGES[-1][1](spark, docs, sf_dir)
