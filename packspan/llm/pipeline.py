@@ -31,10 +31,16 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
-    found = neardup.near_duplicates(docs)
-    gone = Cut(found.where("not kept").select("doc_id"), "copies").df
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8).
+
+    Of repeated rows (equal id and text) one stays; rows without an id all stay.
+    """
+    found = Cut(neardup.near_duplicates(docs).select("doc_id", "kept"), "kept").df
+    out = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    named = out.where("doc_id is not null").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return named.union(out.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -317,7 +317,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, tokenizer_file: str
     folder = folder or fresh_path(spark, "shards")
     file = tokenizer_file or default_tokenizer()
     dealt, n = _dealt(docs, id_col, text_col, file_rows)
-    rows = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("id"))
+    rows = dealt.repartitionById(n, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("id"))
     store, root = open_store(folder)
     store.create_dir(root, recursive=True)
 
