@@ -1,17 +1,13 @@
-"""Queries over the driver's tables, one for each operator, and their SQL twins."""
+"""Queries over the driver's tables, one or more for each operator, and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from packspan.plans import formats, queries as relational
 
-from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict:
+    return relational.QUERIES | formats.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(relational.ORACLES)
