@@ -69,7 +69,7 @@ def in_archives(entries: DataFrame, members: DataFrame, query: str, max_bytes: i
     """Hits in names of all entries, and in contents of text members(archive, path, content); one row for each path hit."""
     from packspan.functions.scalars import is_text_name
 
-    texts = members.where(is_text_name(name("path")) & (F.octet_length("content") < max_bytes)).select(F.struct("archive", "path").alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    texts = members.where(is_text_name(name("path")) & (F.octet_length("content") < max_bytes)).select(F.struct("archive", "path").alias("path"), F.decode("content", "UTF-8").alias("text"))
     hits = by_content(texts, query, None).select("path.archive", "path.path", "match_count", "first_line", "snippet")
     names = by_name(entries, query).select("archive", "path", F.lit(0).cast("long").alias("match_count"), F.lit(0).alias("first_line"), F.lit("").alias("snippet"))
     return hits.unionByName(names.join(hits.select("archive", "path"), ["archive", "path"], "left_anti"))

@@ -1 +1,87 @@
-QUERIES = {}
+"""Queries that pack table rows into archives in the shared folder and read them back through the sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from packspan.functions import scalars
+from packspan.operators import catalog, results, search
+from packspan.runtime import fresh_path, table
+from packspan.sinks.archive import pack
+from packspan.sources import archive
+
+#: Documents of an archive; a target is packed in one task, so it must be bounded.
+MEMBERS_EACH = 2_000
+
+
+def _packed(spark, d: str, fmt: str) -> str:
+    """Documents as text members, a part of each language's documents to an archive."""
+    docs = table(spark, d, "documents")
+    per = docs.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_EACH).cast("int").alias("parts"))
+    # one row for each language
+    rows = docs.join(F.broadcast(per) if per.count() <= 10_000 else per, "lang")
+    target = F.concat_ws("-", "lang", F.pmod(F.xxhash64("doc_id"), "parts").cast("string"))
+    member = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    folder = fresh_path(spark, f"packed-{fmt}")
+    pack(rows.select(target.alias("target"), member.alias("path"), F.col("text").cast("binary").alias("content")), folder, fmt)
+    return folder
+
+
+def _members(spark, d: str, fmt: str) -> DataFrame:
+    return archive.members(spark, _packed(spark, d, fmt)).where("error is null and chunk_no = 0")
+
+
+def zip_members(spark, d):
+    return _members(spark, d, "zip").select("path", "size", scalars.md5_hex("content").alias("md5"))
+
+
+def tgz_members(spark, d):
+    return _members(spark, d, "tgz").select("path", "size", scalars.md5_hex("content").alias("md5"))
+
+
+def zip_catalog(spark, d):
+    found = archive.entries(spark, _packed(spark, d, "zip"))
+    lang = F.regexp_extract("archive", r"/([a-z]+)-[0-9]+\.zip$", 1)
+    return catalog.totals(found.withColumn("lang", lang), ["lang"])
+
+
+def tar_dir_sizes(spark, d):
+    return catalog.directory_sizes(archive.entries(spark, _packed(spark, d, "tar")))
+
+
+def archive_content_search(spark, d):
+    """Search in members of archives; the catalog isn't needed for hits in contents."""
+    members = _members(spark, d, "tzst")
+    texts = members.select("path", F.decode("content", "UTF-8").alias("text"))
+    return search.by_content(texts, "tion")
+
+
+def extract_counts(spark, d):
+    return results.counts(archive.members(spark, _packed(spark, d, "zip")).where("chunk_no = 0"))
+
+
+def stream_files(spark, d):
+    """Single-stream files, one for each benchmark item."""
+    folder = fresh_path(spark, "streams")
+    items = table(spark, d, "benchmark")
+    name = F.concat(F.lit("item-"), F.col("item_id").cast("string"), F.lit(".txt"))
+    pack(items.select(name.alias("target"), name.alias("path"), F.col("text").cast("binary").alias("content")), folder, "zst")
+    return archive.members(spark, folder).select("path", F.octet_length("content").cast("long").alias("bytes"), scalars.sha256_hex("content").alias("sha256"))
+
+
+QUERIES = {f.__name__: f for f in (zip_members, tgz_members, zip_catalog, tar_dir_sizes, archive_content_search, extract_counts, stream_files)}
+
+_PATH = "source || '/' || doc_id || '.txt'"
+_LINES = "string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10))"
+ORACLES = {
+    "zip_members": f"SELECT {_PATH} AS path, octet_length(encode(text))::BIGINT AS size, md5(text) AS md5 FROM documents",
+    "tgz_members": f"SELECT {_PATH} AS path, octet_length(encode(text))::BIGINT AS size, md5(text) AS md5 FROM documents",
+    "zip_catalog": "SELECT lang, count(*)::BIGINT AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY lang",
+    "tar_dir_sizes": "SELECT source AS dir, count(*)::BIGINT AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY source",
+    "archive_content_search": f"""WITH l AS (SELECT path, i AS no, lines[i] AS line FROM (SELECT {_PATH} AS path, {_LINES} AS lines FROM documents WHERE length(text) < 1000000), unnest(range(1, len(lines) + 1)) AS t(i)),
+        h AS (SELECT path, count(*)::BIGINT AS match_count, min(no)::INTEGER AS first_line, arg_min(line, no) AS line FROM l WHERE contains(lower(line), 'tion') GROUP BY path)
+        SELECT path, match_count, first_line, substring(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 1, 120) AS snippet FROM h""",
+    "extract_counts": "SELECT count(*)::BIGINT AS total, count(*)::BIGINT AS success, 0::BIGINT AS error FROM documents",
+    "stream_files": "SELECT 'item-' || item_id || '.txt' AS path, octet_length(encode(text))::BIGINT AS bytes, sha256(text) AS sha256 FROM benchmark",
+}

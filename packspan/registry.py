@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(relational.ORACLES)
+    return relational.ORACLES | formats.ORACLES
