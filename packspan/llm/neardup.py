@@ -7,9 +7,11 @@ about t log t hash values, and coordinates of two sets agree with the probabilit
 
 1. Documents with equal sets form a class with its smallest id; only classes are compared.
 2. Bands of coordinates are bucketed. A bucket's classes are linked to its smallest one, after the exact test on whole sets.
+   Pairs whose sketches differ by five standard deviations more than the threshold allows skip that test.
 3. Components of these links are found. Where a bucket still holds several components, all its pairs that cross them are
-   tested, in blocks of at most ``BLOCK`` against ``BLOCK`` classes; a block hands on a spanning forest of its verified
-   links, so that no group becomes all its pairs and no pair in a shared bucket is left untested.
+   tested, in blocks of about ``BLOCK`` against ``BLOCK`` classes: first by sketches, which names the classes that need
+   the exact test, then by these classes' whole sets. A block hands on a spanning forest of its verified links, so that
+   no group becomes all its pairs and no pair in a shared bucket is left untested.
 4. Components of all links label all members of the classes.
 
 The band width is the largest whose chance to miss a pair at the threshold is at most ``MISS``.
@@ -31,6 +33,11 @@ from packspan.runtime import Cut, ship, table
 COORDINATES = 240
 MISS = 1e-8
 BLOCK = 256
+#: One byte of each coordinate is kept, to tell pairs below the threshold without their sets; pairs of pivots, which are
+#: many and mostly either copies or far apart, are told by so many of them.
+FEW_BYTES = 80
+#: A table of classes or buckets with at most so many rows (24 bytes each) is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 500_000
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -128,8 +135,11 @@ def _shape(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sets_of(base: DataFrame, ids: DataFrame, k: int) -> Cut:
     """Whole sets of the documents named; repeated rows of an id count once."""
-    sets = base.join(ids, "id", "left_semi").mapInArrow(_whole_sets(k), "id long, set array<long>")
-    return Cut(sets, "sets")
+    named = Cut(ids.distinct(), "named")
+    sets = base.join(_bounded(named.df), "id", "left_semi").mapInArrow(_whole_sets(k), "id long, set array<long>")
+    out = Cut(sets, "sets")
+    named.drop()
+    return out
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -138,16 +148,48 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _close(percent: int, size: int) -> float:
+    """Equal bytes, of ``size``, that the sketches of a pair at the threshold have but for five standard deviations."""
+    theta = percent / 100
+    return size * (theta - 5 * np.sqrt(theta * (1 - theta) / size))
+
+
+def _likely(percent: int):
+    """Pairs whose sketches are close enough for the exact test."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FEW_BYTES) for c in ("sa", "sb"))
+            keep = pa.array((one == two).sum(1) >= _close(percent, FEW_BYTES))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    return apply
+
+
+def _suspects(percent: int):
+    """Rows of a block of queries (role 1) and all (role 0) with a partner of another component that is close by sketch."""
+
+    def apply(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        comp, role = t["comp"].to_numpy(), t["role"].to_numpy()
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(comp), -1)
+        d, keep = np.flatnonzero(role == 0), np.zeros(len(comp), bool)
+        for q in np.flatnonzero(role == 1):
+            near = d[(comp[d] != comp[q]) & ((sketch[d] == sketch[q]).sum(1) >= _close(percent, sketch.shape[1]))]
+            keep[near] = True
+            keep[q] |= len(near) > 0
+        return t.select(["key", "x", "y", "rep", "comp", "role"]).filter(pa.array(keep))
+
+    return apply
+
+
 def _blocks(percent: int):
-    """Verified links that cross components, within a block of queries (role 1) and all (role 0)."""
+    """A spanning forest of a block's verified links that cross components."""
 
-    def apply(key: tuple, t: pa.Table) -> pa.Table:
+    def apply(t: pa.Table) -> pa.Table:
         t = t.sort_by([("rep", "ascending"), ("role", "ascending")]).combine_chunks()
         rep, comp, role = (t[c].to_numpy() for c in ("rep", "comp", "role"))
-        bucket = t["key"][0].as_py()
-        bands = np.stack(t["bands"].to_numpy(zero_copy_only=False))
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(rep), -1)
-        sets = t["set"].to_numpy(zero_copy_only=False)
+        sets = [np.sort(x) for x in t["set"].to_numpy(zero_copy_only=False)]
         group: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -155,21 +197,15 @@ def _blocks(percent: int):
                 x = group[x]
             return x
 
-        close = (percent / 100 - 6 * np.sqrt(0.25 * 0.75 / sketch.shape[1])) * sketch.shape[1]
         out = []
         for q in np.flatnonzero(role == 1):
-            d = np.flatnonzero((role == 0) & (comp != comp[q]))
-            d = d[(sketch[d] == sketch[q]).sum(1) >= close]
-            if not len(d):
-                continue
-            match = bands[d] == bands[q]
-            d = d[bands[q][match.argmax(1)] == bucket]  # a pair is tested in the first bucket that it shares
-            for j in d:
+            for j in np.flatnonzero((role == 0) & (comp != comp[q])):
                 x, y = top(int(comp[q])), top(int(comp[j]))
-                if x == y:
+                small, large = sorted((len(sets[q]), len(sets[j])))
+                if x == y or 100 * small < percent * large:
                     continue
                 both = len(np.intersect1d(sets[q], sets[j], assume_unique=True))
-                if 100 * both >= percent * (len(sets[q]) + len(sets[j]) - both):
+                if 100 * both >= percent * (small + large - both):
                     group[max(x, y)] = min(x, y)
                     out.append((int(rep[q]), int(rep[j])))
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
@@ -177,6 +213,11 @@ def _blocks(percent: int):
     return apply
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """The written table ``df``, to be broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links) and kept (id = component_id).
 
@@ -190,33 +231,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = band_rows(percent)
     feats = Cut(base.mapInArrow(_features(k, rows), "id long, n long, f1 long, f2 long, bands array<long>, sketch binary"), "features")
     classes = Cut(
-        feats.df.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")),
+        feats.df.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("f1", "f2", "rep"),
         "classes",
     )
-    reps = feats.df.join(classes.df.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"], "left_semi").select(F.col("id").alias("rep"), "n", "bands", "sketch").dropDuplicates(["rep"])
-    reps = Cut(reps, "representatives").df
-    members = reps.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = Cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("size > 1"), "buckets")
-    crowded = buckets.df.where("size > 2").select("key", F.col("lo").alias("b"))
-    shared = Cut(members.join(crowded, "key").select("key", "rep", "b"), "crowded")
-    pairs = Cut(
-        buckets.df.where("size = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b")).union(shared.df.where("rep <> b").select(F.col("rep").alias("a"), "b")).distinct(),
-        "pairs",
-    )
-    ids = pairs.df.select(F.col("a").alias("id")).union(pairs.df.select(F.col("b").alias("id"))).distinct()
+    # only classes with copies are looked up; every other document is its class
+    known = feats.df.where("n > 0").join(_bounded(classes.df), ["f1", "f2"], "left").where("rep is null or rep = id")
+    reps = known.select(F.col("id").alias("rep"), "bands", "sketch")
+    members = reps.select("rep", F.explode("bands").alias("key"))
+    buckets = Cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi"), "buckets")
+    crowded = Cut(buckets.df.where("size > 2").select("key", F.col("lo").alias("b")), "pivots")
+    shared = Cut(members.join(_bounded(crowded.df), "key").select("key", "rep", "b"), "crowded")
+    pairs = buckets.df.where("size = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b")).union(shared.df.where("rep <> b").select(F.col("rep").alias("a"), "b")).distinct()
+    sketches = reps.select("rep", "sketch")
+    few = F.substring("sketch", 1, FEW_BYTES)
+    both = pairs.join(sketches.select(F.col("rep").alias("a"), few.alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), few.alias("sb")), "b")
+    pairs = Cut(both.mapInArrow(_likely(percent), "a long, b long"), "pairs")
+    ids = pairs.df.select(F.col("a").alias("id")).union(pairs.df.select(F.col("b").alias("id")))
     sets = _sets_of(base, ids, k)
     links = Cut(_verify(pairs.df, sets.df, percent), "verified")
     found = components(links.df)
-    rest = _crossing(shared.df.select("key", "rep"), reps, found.df, sets.df, percent)
+    rest = _crossing(shared.df.select("key", "rep"), sketches, found.df, base, k, percent)
     if rest is not None:
         found.drop()
         found = components(links.df.union(rest.df))
-    label = classes.df.join(found.df.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "copies", "rep", F.coalesce("component", "rep").alias("component"))
-    label = Cut(label.where("copies > 1 or component <> rep").select("f1", "f2", "component"), "labels")
+    # what a class's members are labelled with: its own smallest id, or what that is linked to
+    linked = known.select(F.col("id").alias("node"), "f1", "f2").join(found.df.where("component <> node"), "node").select("f1", "f2", "component")
+    alone = classes.df.join(found.df.where("component <> node").select(F.col("node").alias("rep")), "rep", "left_anti").select("f1", "f2", F.col("rep").alias("component"))
+    label = Cut(linked.union(alone), "labels")
     out = feats.df.select("id", "n", "f1", "f2").join(label.df, ["f1", "f2"], "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     out = out.withColumn("kept", F.col(id_col) == F.col("component_id"))
-    for c in (buckets, shared, pairs, sets, links, found, classes):
+    for c in (buckets, crowded, shared, pairs, sets, links, found, classes):
         c.drop()
     if docs.schema[id_col].nullable:
         nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -225,23 +270,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
-def _crossing(shared: DataFrame, reps: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> Cut | None:
-    """Verified links between components that share a bucket; None if every bucket holds one component."""
+def _crossing(shared: DataFrame, sketches: DataFrame, found: DataFrame, base: DataFrame, k: int, percent: int) -> Cut | None:
+    """Verified links between components that share a bucket; None if there are none to test."""
     placed = Cut(shared.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
     per = placed.df.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("main")).where("comps > 1")
     mixed = Cut(mixed.select("key", F.col("main.comp").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("size") - F.col("main.c")) / BLOCK).cast("int").alias("query_blocks")), "mixed")
-    if mixed.df.isEmpty():
-        return None
-    rows = placed.df.join(mixed.df, "key")
+    rows = placed.df.join(_bounded(mixed.df), "key")
     spread = F.xxhash64("rep")
     every = rows.select("key", "rep", "comp", F.lit(0).alias("role"), F.pmod(spread, F.col("all_blocks")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("y"))
     asked = rows.where("comp <> main").select("key", "rep", "comp", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("x"), F.pmod(spread, F.col("query_blocks")).cast("int").alias("y"))
-    blocks = every.union(asked).join(reps.select("rep", "bands", "sketch"), "rep").join(sets.select(F.col("id").alias("rep"), "set"), "rep")
-    found_links = blocks.groupBy("key", "x", "y").applyInArrow(_blocks(percent), "a long, b long").distinct()
-    out = Cut(found_links, "crossing")
-    placed.drop()
-    mixed.drop()
+    blocks = every.union(asked).join(sketches, "rep")
+    suspects = Cut(blocks.groupBy("key", "x", "y").applyInArrow(_suspects(percent), "key long, x int, y int, rep long, comp long, role int"), "suspects")
+    out = None
+    if not suspects.df.isEmpty():
+        sets = _sets_of(base, suspects.df.select(F.col("rep").alias("id")), k)
+        tested = suspects.df.join(sets.df.withColumnRenamed("id", "rep"), "rep")
+        out = Cut(tested.groupBy("key", "x", "y").applyInArrow(_blocks(percent), "a long, b long").distinct(), "crossing")
+        sets.drop()
+    for c in (suspects, placed, mixed):
+        c.drop()
     return out
 
 
