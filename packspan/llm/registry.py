@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packspan.llm import decontam, warc
+from packspan.llm import decontam, oracles, warc
 from packspan.llm.language import op3_language
 from packspan.llm.neardup import op8_neardup
 from packspan.llm.quality import op2_quality
@@ -31,4 +31,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_decontamination": decontam.ORACLE,
+        "op6_vectors": oracles.OP6,
+        "op8_neardup": oracles.OP8,
+        "op10_warc": oracles.OP10,
     }

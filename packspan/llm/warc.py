@@ -321,4 +321,4 @@ def read_captures(index: DataFrame, keep_payload: bool = False) -> DataFrame:
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     chunks = write_archives(table(spark, sf_dir, "pages"))
-    return read_captures(merged_index(chunks)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
+    return read_captures(merged_index(chunks)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
