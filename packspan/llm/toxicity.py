@@ -1,9 +1,8 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Tokens are runs of letters, digits and non-ASCII bytes. Labels mark whole documents, so training tokens are labelled
-from them first: a token of a toxic document is TOXIC if its word is significantly tied to toxic documents (the lower
-bound of Wilson's interval for the share of toxic documents among those with the word), copies of a document counted
-once. A two-state CRF over the word and its two neighbours is fitted to these tokens by gradient steps on the exact
+from them first: a token of a toxic document is TOXIC if its word is in so many toxic documents, and in so few others, as
+can't be accident (Chernoff's bound for all words tested), copies of a document counted once. A two-state CRF over the word and its two neighbours is fitted to these tokens by gradient steps on the exact
 likelihood. Forward-backward marginals give each token's probability; a document's score is the calibrated chance that
 one of its tokens at least is toxic, and runs of tokens at 0.5 or more are its spans (byte offsets into the UTF-8 text).
 
@@ -34,9 +33,10 @@ SPANS = "array<struct<start:int,end:int,p:float>>"
 @dataclass(frozen=True)
 class Config:
     bound: int = 12_000  #: labelled documents that the model may learn from
-    table_bits: int = 18  #: hashed weights of each of the three token positions
-    min_documents: int = 3  #: documents that a word must occur in to be taken as toxic
-    min_share: float = 0.4  #: lower bound of the share of toxic documents among those with the word
+    table_bits: int = 18  #: slots for words; of training words that meet in one, the weightier stays
+    min_documents: int = 3  #: documents that a word must occur in to be tested
+    min_share: float = 0.5  #: share of toxic documents among those with a toxic word, at least
+    error: float = 0.01  #: chance to take any word as toxic whose documents are so by accident
     context: int = 12  #: tokens kept on each side of a toxic training token
     clean_tokens: int = 100_000  #: training tokens drawn from clean documents
     steps: int = 120
@@ -45,6 +45,7 @@ class Config:
 
 @dataclass
 class Model:
+    keys: np.ndarray  #: (2^bits,) hashes of the words that have the slots; other words weigh nothing
     weights: np.ndarray  #: (3, 2^bits) log-potentials of TOXIC for the word, the one before and the one after
     bias: float
     trans: np.ndarray  #: (2, 2) log-potentials
@@ -55,9 +56,10 @@ class Model:
     def emissions(self, hashes: np.ndarray, head: np.ndarray) -> np.ndarray:
         mask = np.uint64(self.weights.shape[1] - 1)
         idx = (hashes & mask).astype(np.int64)
-        e = self.weights[0][idx] + np.float32(self.bias)
+        known = self.keys[idx] == hashes
+        e = self.weights[0][idx] * known + np.float32(self.bias)
         if len(idx) > 1:
-            prev, nxt = self.weights[1][idx[:-1]], self.weights[2][idx[1:]]
+            prev, nxt = self.weights[1][idx[:-1]] * known[:-1], self.weights[2][idx[1:]] * known[1:]
             inside = ~head[1:]
             e[1:] += prev * inside
             e[:-1] += nxt * inside
@@ -127,9 +129,10 @@ def forward_backward(e: np.ndarray, head: np.ndarray, trans: np.ndarray, start:
     return marginal, joint.sum(2)
 
 
-def _wilson(k: np.ndarray, n: np.ndarray, z: float = 1.64) -> np.ndarray:
-    p = k / n
-    return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+def _evidence(k: np.ndarray, n: np.ndarray, base: float) -> np.ndarray:
+    """Chernoff's bound, as a negative logarithm, of the chance that k of n documents are toxic when ``base`` of all are."""
+    p = np.clip(k / n, 1e-12, 1 - 1e-12)
+    return np.where(p > base, n * (p * np.log(p / base) + (1 - p) * np.log((1 - p) / (1 - base))), 0.0)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,9 +157,11 @@ def token_labels(docs: list[np.ndarray], y: np.ndarray, cfg: Config) -> list[np.
     words, inverse = np.unique(flat, return_inverse=True)
     seen = np.bincount(inverse, minlength=len(words))
     toxic = np.bincount(inverse, weights=np.repeat(y, [len(r) for r in rows]), minlength=len(words))
-    base = y.mean() if len(y) else 0.0
-    low = _wilson(toxic, np.maximum(seen, 1))
-    chosen = words[(toxic >= cfg.min_documents) & (low >= max(cfg.min_share, min(0.9, 2 * base)))]
+    often = seen >= cfg.min_documents
+    base = min(max(y.mean() if len(y) else 0.5, 1e-6), 1 - 1e-6)
+    # all frequent words are tested at once: their number raises the bar
+    bar = np.log(max(int(often.sum()), 1) / cfg.error)
+    chosen = words[often & (toxic >= cfg.min_share * seen) & (_evidence(toxic, np.maximum(seen, 1), base) >= bar)]
     return [np.isin(d, chosen) & bool(t) for d, t in zip(docs, y, strict=True)]
 
 
@@ -165,7 +170,7 @@ def fit(sample: list[tuple[int, bytes, bytes]], cfg: Config) -> Model:
     sample = sorted(sample, key=lambda r: (r[2], r[1], r[0]))
     y = np.array([r[0] for r in sample], float)
     size = 1 << cfg.table_bits
-    model = Model(np.zeros((3, size), np.float32), -6.0, np.zeros((2, 2)), np.zeros(2), 0.0, -6.0)
+    model = Model(np.zeros(size, np.uint64), np.zeros((3, size), np.float32), -6.0, np.zeros((2, 2)), np.zeros(2), 0.0, -6.0)
     if len(y) == 0:
         return model
     base = (y.sum() + 1) / (len(y) + 20)
@@ -201,10 +206,10 @@ def fit(sample: list[tuple[int, bytes, bytes]], cfg: Config) -> Model:
 
 
 def _train(model: Model, h: np.ndarray, tag: np.ndarray, head: np.ndarray, cfg: Config) -> None:
-    full = model.weights
-    used, idx = np.unique(h & np.uint64(full.shape[1] - 1), return_inverse=True)  # only weights that occur are fitted
+    full, keys = model.weights, model.keys
+    used, idx = np.unique(h, return_inverse=True)  # only words that occur are fitted
     size = 1 << int(len(used) - 1).bit_length()
-    model.weights, h = np.zeros((3, size), np.float32), idx.astype(np.uint64)
+    model.keys, model.weights, h = np.arange(size, dtype=np.uint64), np.zeros((3, size), np.float32), idx.astype(np.uint64)
     inside = ~head[1:]
     state = tag.astype(int)
     seen = np.zeros((2, 2))
@@ -225,8 +230,10 @@ def _train(model: Model, h: np.ndarray, tag: np.ndarray, head: np.ndarray, cfg:
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
             theta[k] = theta[k] + 0.3 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-3)
-    full[:, used.astype(np.int64)] = theta[0][:, : len(used)]
-    model.weights, model.bias, model.trans, model.start = full, float(theta[1]), theta[2], theta[3]
+    order = np.argsort(np.abs(theta[0][:, : len(used)]).max(0), kind="stable")
+    slots = (used[order] & np.uint64(len(keys) - 1)).astype(np.int64)
+    keys[slots], full[:, slots] = used[order], theta[0][:, order]
+    model.keys, model.weights, model.bias, model.trans, model.start = keys, full, float(theta[1]), theta[2], theta[3]
 
 
 def _logit_any(p: np.ndarray, first: np.ndarray) -> np.ndarray:
