@@ -14,7 +14,7 @@ from packspan.llm.learning import remainder
 from packspan.runtime import Cut, table
 
 #: A document goes if no language reaches this probability over its whole text.
-LANGUAGE_SHARE = 0.5
+LANGUAGE_SHARE = 0.4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
