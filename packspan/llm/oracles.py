@@ -33,3 +33,17 @@ b AS (SELECT *, array_to_string(list_transform(string_split(sha, ''), lambda c:
 SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_BIT}, 1)), '') AS payload_digest,
 CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
 """
+
+#: crc32 bit by bit: the byte joins the low end, then eight shifts with the reversed polynomial.
+_CRC = "xor(list_reduce(x, lambda acc, v: list_reduce([xor(acc, v), 1, 1, 1, 1, 1, 1, 1, 1]::UBIGINT[], lambda c, k: xor(c >> 1, 3988292384::UBIGINT * (c & 1))), 4294967295::UBIGINT), 4294967295::UBIGINT)"
+OP4 = f"""
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS stratum, ('0x' || substring(md5('42|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents
+), hexed AS (SELECT *, string_split(hex(encode(text)), '') AS c FROM base),
+bytes AS (SELECT *, list_transform(c[1:-:2], lambda v, i: (strpos('123456789ABCDEF', v) * 16 + strpos('123456789ABCDEF', c[2 * i]))::UBIGINT) AS x FROM hexed),
+summed AS (SELECT doc_id, stratum, h, (octet_length(encode(text)) + 1)::BIGINT AS size, CASE WHEN text = '' THEN 0 ELSE {_CRC} END::BIGINT AS text_crc32 FROM bytes),
+spread AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, text_crc32, size) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS f FROM summed),
+placed AS (SELECT *, row_number() OVER (ORDER BY f, stratum, h, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM spread),
+cut AS (SELECT *, pos * 8 // n AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard, (pos - (shard * n + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM cut
+"""

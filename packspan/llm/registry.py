@@ -30,6 +30,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_sharding": oracles.OP4,
         "op5_decontamination": decontam.ORACLE,
         "op6_vectors": oracles.OP6,
         "op8_neardup": oracles.OP8,
