@@ -194,11 +194,18 @@ class ArchiveMembers(DataSource):
         return MembersReader(self.options)
 
 
+_registered: set[tuple[str, int]] = set()
+
+
 def register(spark: SparkSession) -> None:
     """Make the sources known to a session, for ``spark.read.format`` and ``CREATE TEMPORARY VIEW ... USING``."""
     from packspan.sinks.archive import ArchiveWriter, FolderWriter
 
     ship(spark)
+    session = spark._jsparkSession.hashCode()
+    if (spark.sparkContext.applicationId, session) in _registered:
+        return
+    _registered.add((spark.sparkContext.applicationId, session))
     for source in (ArchiveEntries, ArchiveMembers, ArchiveWriter, FolderWriter):
         spark.dataSource.register(source)
 
