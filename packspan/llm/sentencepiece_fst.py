@@ -34,8 +34,10 @@ from packspan.llm import wordkernel as K
 from packspan.runtime import ship, table
 
 MARK = "▁"
-#: Distinct chunks that a Python worker keeps the paths of; then it starts anew.
-KEPT_CHUNKS = 1_000_000
+#: Distinct chunks whose paths, and pairs of pieces whose arcs, a Python worker keeps; beyond it starts anew. Workers live
+#: on between stages, so this is memory that other operators don't have.
+KEPT_CHUNKS = 300_000
+KEPT_PAIRS = 400_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -81,7 +83,7 @@ class Machine:
                 node = node.setdefault(c, {})
             node[""] = (i, 0.0 if self.bpe else -self.score[p])
         self.fallback_weight = 0.0 if self.bpe else -floor
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}  #: by last piece and piece in one number
         size = [len(s) for s in self.surface]
         self.surface_first = np.concatenate([[0], np.cumsum(size)])
         self.surface_flat = np.frombuffer(b"".join(self.surface), np.uint8)
@@ -113,9 +115,9 @@ class Machine:
 
     def follows(self, last: int, piece: int) -> bool:
         """Whether the constraint has an arc: last is -1 at the start and -2 after a character that no piece spells."""
-        known = self._follows.get((last, piece))
+        known = self._follows.get(last << 32 | piece)
         if known is None:
-            if len(self._follows) > 4_000_000:
+            if len(self._follows) > KEPT_PAIRS:
                 self._follows.clear()
             b = self.piece[piece]
             if last < 0:
@@ -123,7 +125,7 @@ class Machine:
             else:
                 a = self.piece[last]
                 known = a + b not in self.id and self.merged(a + b) == [a, b]
-            self._follows[last, piece] = known
+            self._follows[last << 32 | piece] = known
         return known
 
     def path(self, chunk: str) -> list[int]:
@@ -154,7 +156,7 @@ class Machine:
                 piece, weight = arc
                 if bpe:
                     if via[j] is None:
-                        ok = follows.get((last, piece))
+                        ok = follows.get(last << 32 | piece)
                         if ok or ok is None and self.follows(last, piece):
                             via[j], back[j] = piece, i
                 elif via[j] is None or cost[i] + weight < cost[j]:

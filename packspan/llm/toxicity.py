@@ -32,7 +32,7 @@ SPANS = "array<struct<start:int,end:int,p:float>>"
 
 @dataclass(frozen=True)
 class Config:
-    bound: int = 12_000  #: labelled documents that the model may learn from
+    bound: int = 8_000  #: labelled documents that the model may learn from
     table_bits: int = 18  #: slots for words; of training words that meet in one, the weightier stays
     min_documents: int = 3  #: documents that a word must occur in to be tested
     min_share: float = 0.5  #: share of toxic documents among those with a toxic word, at least
