@@ -1,9 +1,9 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Tokens are runs of letters, digits and non-ASCII bytes. Labels mark whole documents, so training tokens are labelled
-from them first: a token of a toxic document is TOXIC if its word is in so many toxic documents, and in so few others, as
-can't be accident (Chernoff's bound for all words tested), copies of a document counted once. A two-state CRF over the word and its two neighbours is fitted to these tokens by gradient steps on the exact
-likelihood. Forward-backward marginals give each token's probability; a document's score is the calibrated chance that
+from them first: a token of a toxic document is TOXIC if its word is in so many toxic documents, and in so few others, that
+few of the words taken are so by accident (exact tests with a bounded false share), copies of a document counted once. A
+two-state CRF over the word and its two neighbours is fitted to these tokens by gradient steps on the exact likelihood. Forward-backward marginals give each token's probability; a document's score is the calibrated chance that
 one of its tokens at least is toxic, and runs of tokens at 0.5 or more are its spans (byte offsets into the UTF-8 text).
 
 Memory: a task holds one run of texts (``wordkernel.RUN_BYTES``), one task the sample (``Config.bound`` rows), and the
@@ -36,7 +36,8 @@ class Config:
     table_bits: int = 18  #: slots for words; of training words that meet in one, the weightier stays
     min_documents: int = 3  #: documents that a word must occur in to be tested
     min_share: float = 0.5  #: share of toxic documents among those with a toxic word, at least
-    error: float = 0.01  #: chance to take any word as toxic whose documents are so by accident
+    error: float = 0.01  #: share of the words taken as toxic that are expected to be so by accident
+    few_error: float = 0.1  #: the same where few labels let no bar reach ``error``: the bar with the least share holds up to this
     context: int = 12  #: tokens kept on each side of a toxic training token
     clean_tokens: int = 100_000  #: training tokens drawn from clean documents
     steps: int = 120
@@ -129,10 +130,44 @@ def forward_backward(e: np.ndarray, head: np.ndarray, trans: np.ndarray, start:
     return marginal, joint.sum(2)
 
 
-def _evidence(k: np.ndarray, n: np.ndarray, base: float) -> np.ndarray:
-    """Chernoff's bound, as a negative logarithm, of the chance that k of n documents are toxic when ``base`` of all are."""
-    p = np.clip(k / n, 1e-12, 1 - 1e-12)
-    return np.where(p > base, n * (p * np.log(p / base) + (1 - p) * np.log((1 - p) / (1 - base))), 0.0)
+def _tails(n: int, docs: int, toxic: int, lf: np.ndarray) -> np.ndarray:
+    """Chances that k or more of n documents, drawn from all, are toxic; for k from 0 to n, by log-factorials ``lf``."""
+    lo, hi = max(0, n + toxic - docs), min(n, toxic)
+    k = np.arange(lo, hi + 1)
+    ways = lf[toxic] - lf[k] - lf[toxic - k] + lf[docs - toxic] - lf[n - k] - lf[docs - toxic - n + k]
+    out = np.zeros(n + 1)
+    out[lo : hi + 1] = np.cumsum(np.exp(ways - (lf[docs] - lf[n] - lf[docs - n]))[::-1])[::-1]
+    out[: lo + 1] = 1.0
+    return np.minimum(out, 1.0)
+
+
+def _toxic_words(seen: np.ndarray, toxic: np.ndarray, y: np.ndarray, cfg: Config) -> np.ndarray:
+    """Which words are toxic, from the numbers of documents and of toxic documents with each.
+
+    Fisher's exact test; the bar is the highest chance at which at most ``cfg.error`` of the words found are expected to be
+    accidents. The expectation sums, for each word tested, the greatest chance below the bar that its number of documents
+    can have at all, so words in few documents don't raise the bar for others. Few labels may leave every share above
+    ``cfg.error``: then the bar with the least share holds, up to ``cfg.few_error``.
+    """
+    lf = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, len(y) + 1)))])
+    often = seen >= cfg.min_documents
+    chance = np.ones(len(seen))
+    tails = {}
+    for n, words in zip(*np.unique(seen[often], return_counts=True), strict=True):
+        tails[int(n)] = _tails(int(n), len(y), int(y.sum()), lf), int(words)
+        at = often & (seen == n)
+        chance[at] = tails[int(n)][0][toxic[at]]
+    able = often & (toxic >= cfg.min_share * seen)
+    bars, found = np.unique(chance[able], return_counts=True)
+    if not len(bars):
+        return able
+    accidents = np.zeros(len(bars))
+    for t, words in tails.values():
+        rising = np.concatenate([[0.0], t[::-1]])
+        accidents += words * rising[np.searchsorted(rising, bars, "right") - 1]
+    share = accidents / np.cumsum(found)
+    good = np.flatnonzero(share <= max(cfg.error, min(share.min(), cfg.few_error)))
+    return able & (chance <= bars[good[-1]]) if len(good) else np.zeros(len(seen), bool)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +191,8 @@ def token_labels(docs: list[np.ndarray], y: np.ndarray, cfg: Config) -> list[np.
     flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
     words, inverse = np.unique(flat, return_inverse=True)
     seen = np.bincount(inverse, minlength=len(words))
-    toxic = np.bincount(inverse, weights=np.repeat(y, [len(r) for r in rows]), minlength=len(words))
-    often = seen >= cfg.min_documents
-    base = min(max(y.mean() if len(y) else 0.5, 1e-6), 1 - 1e-6)
-    # all frequent words are tested at once: their number raises the bar
-    bar = np.log(max(int(often.sum()), 1) / cfg.error)
-    chosen = words[often & (toxic >= cfg.min_share * seen) & (_evidence(toxic, np.maximum(seen, 1), base) >= bar)]
+    toxic = np.bincount(inverse, weights=np.repeat(y, [len(r) for r in rows]), minlength=len(words)).astype(int)
+    chosen = words[_toxic_words(seen, toxic, y, cfg)]
     return [np.isin(d, chosen) & bool(t) for d, t in zip(docs, y, strict=True)]
 
 
