@@ -12,6 +12,7 @@ from packspan.functions.paths import _c, name
 PAGE_ROWS = 200
 SNIPPET_CHARS = 120
 POSITION_CHARS = 50_000
+SUM_BLOCK = 500
 LINE_ENDS = r"\r\n|\r|\n"
 
 
@@ -44,16 +45,33 @@ def page(results: DataFrame, rows: int = PAGE_ROWS, after=None) -> DataFrame:
     return left.orderBy("path").limit(rows)
 
 
-def positions(text: str | Column, query: str, within: int = POSITION_CHARS) -> Column:
+def _running(lengths: Column) -> Column:
+    """The running sums of ``lengths``, each and 1; in blocks, so that appending costs no square of the array's size."""
+    none = F.array().cast("array<int>")
+
+    def sums(block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), none.alias("found")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["found"], acc["at"] + n).alias("found")), lambda acc: acc["found"])
+
+    def blocks(every: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(every), F.lit(SUM_BLOCK)), lambda i: sums(F.slice(every, i, F.lit(SUM_BLOCK))))
+
+    # a lambda's variable holds its value; a column named twice would be worked out twice
+    parts = F.transform(F.array(lengths), blocks)[0]
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<array<int>>").alias("found"))
+    return F.flatten(F.aggregate(parts, start, lambda acc, p: F.struct((acc["at"] + F.element_at(p, -1)).alias("at"), F.array_append(acc["found"], F.transform(p, lambda e: e + acc["at"])).alias("found")), lambda acc: acc["found"]))
+
+
+def positions(text: str | Column, query: str, within: int | None = POSITION_CHARS) -> Column:
     """1-based places of all matches, overlapping ones too, whatever the case, in the first ``within`` characters.
 
+    ``None`` is the whole text.
+
     The text is split before each match by a lookahead, so the regular expression engine goes through it once; the places
     are the running lengths of the pieces.
     """
-    t = F.lower(F.substring(_c(text), 1, within))
-    pieces = F.split(t, f"(?={re.escape(query.lower())})")
-    ends = F.aggregate(pieces, F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found")), lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["found"], acc["at"] + F.length(p)).alias("found")), lambda acc: acc["found"])
-    later = F.filter(ends, lambda e: e <= F.length(t))
+    t = F.lower(_c(text) if within is None else F.substring(_c(text), 1, within))
+    ends = _running(F.transform(F.split(t, f"(?={re.escape(query.lower())})"), F.length))
+    later = F.transform(F.array(ends), lambda e: F.slice(e, 1, F.size(e) - 1))[0]  # the last piece ends with the text
     first = F.when(F.startswith(t, F.lit(query.lower())), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     return F.concat(first, later)
 

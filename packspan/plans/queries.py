@@ -67,7 +67,7 @@ def filename_search(spark, d):
 
 
 def match_positions(spark, d):
-    found = texts(spark, d).select("path", F.posexplode(search.positions("text", "enen")).alias("n", "position"))
+    found = texts(spark, d).select("path", F.posexplode(search.positions("text", "enen", within=None)).alias("n", "position"))
     return found.select("path", (F.col("n") + 1).alias("n"), "position")
 
 

@@ -1,5 +1,8 @@
 """Queries and operators do the whole job where a bound, a prefix or a shut-off would go unnoticed."""
 
+import re
+
+from packspan import registry
 from packspan.llm import toxicity
 from packspan.llm.learning import remainder
 from packspan.runtime import table
@@ -13,3 +16,12 @@ def test_toxicity_learns_from_few_labels(spark, sf):
     assert sum(r.tox_flag and r.toxic == 0 for r in out) <= 1
     assert any(r.tox_spans for r in hits)
     assert toxicity.op9_toxicity(spark, sf).where("predicted = 1").count() >= len(hits)
+
+
+def test_positions_are_those_of_the_whole_text(spark, tmp_path):
+    texts = ["x" * 49_998 + "ENEnen " + "y" * 60_000 + "enen", "xenen " * 20_000, "", None, "enen"]
+    want = [(d, m.start() + 1) for d, t in enumerate(texts) for m in re.finditer("(?=enen)", (t or "").lower())]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["match_positions"](spark, str(tmp_path)).orderBy("path", "n").collect()
+    assert [(r.path, r.position) for r in got] == want
+    assert [r.n for r in got if r.path == 1] == list(range(1, 20_001))
