@@ -10,13 +10,15 @@ Vectors are compared within their label only. Equal vectors of a label form a cl
    Such lists are enlarged to the whole label: the node is compared with all classes of its label, in blocks. Blocks hand
    on counts, a spanning forest of their links and the links to nodes with open lists (fewer than ``k`` each), never all
    pairs of a group.
-4. Links are confirmed in double precision. Recall is measured against brute force for ``audit`` nodes; below
-   ``recall`` the search is repeated with other planes and lists twice as long.
+4. Links are confirmed in double precision. Recall is measured against brute force for ``audit`` nodes, or more until
+   these have ``AUDIT_LINKS`` links; below ``recall`` the search is repeated with other planes and lists twice as long. If
+   that doesn't help, or the audit sees no link at all, every list is enlarged to the whole label, as saturated ones are.
 """
 
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -29,18 +31,33 @@ from packspan.llm import wordkernel as K
 from packspan.llm.components import components
 from packspan.runtime import Cut, cut, ship, table
 
-ROUNDS = 6
+ROUNDS = 6  #: of hyperplane cells, at least
+MAX_ROUNDS = 64
+MAX_BITS = 20
+CELL_MISS = 0.05  #: chance that a pair at the threshold shares no cell, below MAX_ROUNDS
+AUDIT_LINKS = 50  #: links that an audit must see, unless it has grown to AUDIT_GROWTH times its nodes
+AUDIT_GROWTH = 16
 BLOCK_NODES = 96
 SEARCH_BLOCK = 1024
 BROADCAST_ROWS = 500_000
 _log = logging.getLogger(__name__)
 
 
-def _planes(dim: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).normal(size=(dim, 24 * ROUNDS))
+def _planes(dim: int, seed: int, rounds: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim]).normal(size=(dim, 24 * rounds))
 
 
-def _prepared(seed: int):
+def _rounds(bits: int, threshold: float) -> int:
+    """Rounds of cells of so many bits after which a pair at the threshold has met but for ``CELL_MISS``."""
+    meet = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return max(ROUNDS, MAX_ROUNDS if meet <= 1e-9 else min(MAX_ROUNDS, math.ceil(math.log(CELL_MISS) / math.log1p(-min(meet, 1 - 1e-9)))))
+
+
+def _bits(n: int) -> int:
+    return max(0, min(MAX_BITS, math.ceil(math.log2(max(n, 1) / BLOCK_NODES))))
+
+
+def _prepared(seed: int, rounds: int):
     """Unit vectors of the valid rows, what tells equal ones, and their hyperplane signs."""
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +81,7 @@ def _prepared(seed: int):
                 for j in range(dim):
                     for s in (0, 1):
                         h[s] = K.mix(h[s] * np.uint64(0x9E3779B97F4A7C15) + x[:, j].view(np.uint64) + np.uint64(s + 1))
-                sign = ((unit @ _planes(int(dim), seed)) > 0).reshape(len(rows), ROUNDS, 24)
+                sign = ((unit @ _planes(int(dim), seed, rounds)) > 0).reshape(len(rows), rounds, 24)
                 sig = (sign * (1 << np.arange(24))).sum(2).astype(np.int64)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
@@ -75,7 +92,7 @@ def _prepared(seed: int):
                         pa.array(h[0].view(np.int64)),
                         pa.array(h[1].view(np.int64)),
                         pa.array([u.tobytes() for u in unit], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * ROUNDS, pa.int32()), pa.array(sig.reshape(-1))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rounds, pa.int32()), pa.array(sig.reshape(-1))),
                     ],
                     ["id", "label", "dim", "h1", "h2", "unit", "sigs"],
                 )
@@ -171,12 +188,13 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def neighbour_graph(nodes: DataFrame, k: int, max_passes: int = 8, settled: float = 0.002) -> Cut:
+def neighbour_graph(nodes: DataFrame, k: int, threshold: float = 0.93, max_passes: int = 8, settled: float = 0.002) -> Cut:
     """Lists (u, v, sim) of about the k nearest nodes of the same grp; nodes has node, grp, vec and sigs."""
     count = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    bits = F.greatest(F.lit(0), F.least(F.lit(20), F.ceil(F.log2(F.col("n") / BLOCK_NODES)))).cast("int")
+    bits = F.greatest(F.lit(0), F.least(F.lit(MAX_BITS), F.ceil(F.log2(F.col("n") / BLOCK_NODES)))).cast("int")
     signed = nodes.join(_small(cut(count.select("grp", bits.alias("bits")), "labels")), "grp")
-    signed = signed.select("node", "grp", "vec", "bits", F.posexplode("sigs").alias("round", "sig"))
+    rounds = F.element_at(F.array(*[F.lit(_rounds(b, threshold)) for b in range(MAX_BITS + 1)]), F.col("bits") + 1)
+    signed = signed.select("node", "grp", "vec", "bits", F.posexplode(F.slice("sigs", F.lit(1), rounds)).alias("round", "sig"))
     signed = signed.withColumn("cell", F.xxhash64("grp", "round", F.expr("sig % shiftleft(1L, bits)")))
     sizes = Cut(signed.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where(f"c > {2 * BLOCK_NODES}").select("cell", F.ceil(F.col("c") / BLOCK_NODES).cast("int").alias("parts")), "cells")
     signed = signed.join(_small(sizes.df), "cell", "left")
@@ -286,8 +304,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, k: int = 12, audit
     good = base.where("id is not null and label is not null and v is not null")
     made = "id long, label string, dim int, h1 long, h2 long, unit binary, sigs array<long>"
 
+    largest = good.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    rounds = _rounds(_bits(largest), threshold)
+
     def prepared(s: int) -> DataFrame:
-        return good.mapInArrow(_prepared(s), made)
+        return good.mapInArrow(_prepared(s, rounds), made)
 
     rows = Cut(prepared(seed).select("id", F.xxhash64("label", "dim").alias("grp"), "h1", "h2", "unit", "sigs"), "vectors")
     classes = rows.df.groupBy("grp", "h1", "h2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"), F.first("sigs").alias("sigs"))
@@ -295,7 +316,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, k: int = 12, audit
     nodes = Cut(classes.select("node", "grp", "h1", "h2", "copies", "unit", "sigs", single("unit").alias("vec")), "nodes")
     pairs, width, planes = None, k, nodes.df
     for attempt in range(3):
-        graph = neighbour_graph(planes, width)
+        graph = neighbour_graph(planes, width, threshold)
         near = graph.df.where(F.col("sim") >= threshold - 1e-3)
         linked = _confirmed(near.select("u", "v"), nodes.df, threshold)
         both = linked.union(linked.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -305,8 +326,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, k: int = 12, audit
         graph.drop()
         judged = nodes.df.join(saturated.df.withColumnRenamed("u", "node"), "node", "left_anti")
         share = _audited(judged, nodes.df, pairs.df, threshold, audit)
-        _log.info("recall of %d audited nodes: %.4f", audit, share)
-        if share >= recall or attempt == 2:
+        _log.info("audited recall: %s", share)
+        if share is not None and share >= recall:
+            break
+        if share is None or attempt == 2:
+            _log.warning("audited recall is %s: all nodes are compared with their whole label", share)
+            saturated.drop()
+            saturated = Cut(nodes.df.select(F.col("node").alias("u")), "saturated")
             break
         width *= 2
         fresh = prepared(seed + attempt + 1).select("id", F.col("sigs").alias("other")).groupBy("id").agg(F.first("other").alias("sigs"))
@@ -332,11 +358,26 @@ def _as_float32(s):
     return s.map(lambda b: np.frombuffer(b).astype(np.float32).tobytes())
 
 
-def _audited(judged: DataFrame, nodes: DataFrame, links: DataFrame, threshold: float, audit: int) -> float:
-    """Recall of the nodes with open lists; saturated ones are searched exactly afterwards."""
-    ids = judged.select("node", "grp", "unit").orderBy(F.xxhash64("node"), "node").limit(audit).collect()
+def _audited(judged: DataFrame, nodes: DataFrame, links: DataFrame, threshold: float, audit: int) -> float | None:
+    """Recall of the nodes with open lists; None if the largest audit sees no link though there are more nodes.
+
+    Saturated nodes are searched exactly afterwards.
+    """
+    size = audit
+    while True:
+        seen, real, found = _audit(judged, nodes, links, threshold, size)
+        if seen < size:  # every node
+            return found / real if real else 1.0
+        if real >= AUDIT_LINKS or size >= AUDIT_GROWTH * audit:
+            return found / real if real else None
+        size *= 4
+
+
+def _audit(judged: DataFrame, nodes: DataFrame, links: DataFrame, threshold: float, size: int) -> tuple[int, int, int]:
+    """Audited nodes, their links by brute force, and how many of these were found."""
+    ids = judged.select("node", "grp", "unit").orderBy(F.xxhash64("node"), "node").limit(size).collect()
     if not ids:
-        return 1.0
+        return 0, 0, 0
     shared = nodes.sparkSession.sparkContext.broadcast([(r.node, r.grp, bytes(r.unit)) for r in ids])
 
     def truth(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +399,7 @@ def _audited(judged: DataFrame, nodes: DataFrame, links: DataFrame, threshold: f
 
     real = nodes.select("node", "grp", "unit").mapInArrow(truth, "u long, v long").distinct()
     both = real.join(links.select("u", "v", F.lit(1).alias("found")), ["u", "v"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("found").alias("f")).first()
-    return both.f / both.n if both.n else 1.0
+    return len(ids), both.n, both.f
 
 
 def op6_vectors(spark, sf_dir: str) -> DataFrame:
