@@ -54,7 +54,7 @@ def archive_content_search(spark, d):
     """Search in members of archives; the catalog isn't needed for hits in contents."""
     members = _members(spark, d, "tzst")
     texts = members.select("path", F.decode("content", "UTF-8").alias("text"))
-    return search.by_content(texts, "tion")
+    return search.by_content(texts, "tion", max_chars=None)
 
 
 def extract_counts(spark, d):

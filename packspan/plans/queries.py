@@ -44,7 +44,7 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def content_search(spark, d):
-    return search.by_content(texts(spark, d), WORD)
+    return search.by_content(texts(spark, d), WORD, max_chars=None)
 
 
 CONTENT = f"""
@@ -59,7 +59,7 @@ lines AS (
 
 
 def search_page(spark, d):
-    return search.page(search.by_content(texts(spark, d), WORD), after=10)
+    return search.page(search.by_content(texts(spark, d), WORD, max_chars=None), after=10)
 
 
 def filename_search(spark, d):

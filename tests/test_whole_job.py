@@ -50,3 +50,11 @@ def test_vector_cells_grow_with_the_label():
     for n in (100_000, 1_000_000, 10_000_000, 10**9):
         bits = vectors._bits(n)
         assert (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** vectors._rounds(bits, 0.93) <= vectors.CELL_MISS
+
+
+def test_content_searches_read_texts_of_any_length(spark, tmp_path):
+    rows = [(11, "a\n" + "x" * 1_000_000 + "\nsome nation\n", "en", "s"), (12, "action", "en", "s"), (13, "none", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name, paths in (("content_search", [11, 12]), ("search_page", [11, 12]), ("archive_content_search", ["s/11.txt", "s/12.txt"])):
+        got = registry.queries()[name](spark, str(tmp_path)).orderBy("path").collect()
+        assert [tuple(r) for r in got] == [(paths[0], 1, 3, "some nation"), (paths[1], 1, 1, "action")], name
