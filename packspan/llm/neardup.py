@@ -7,18 +7,23 @@ about t log t hash values, and coordinates of two sets agree with the probabilit
 
 1. Documents with equal sets form a class with its smallest id; only classes are compared.
 2. Bands of coordinates are bucketed. A bucket's classes are linked to its smallest one, after the exact test on whole sets.
-   Pairs whose sketches differ by five standard deviations more than the threshold allows skip that test.
-3. Components of these links are found. Where a bucket still holds several components, all its pairs that cross them are
-   tested, in blocks of about ``BLOCK`` against ``BLOCK`` classes: first by sketches, which names the classes that need
-   the exact test, then by these classes' whole sets. A block hands on a spanning forest of its verified links, so that
-   no group becomes all its pairs and no pair in a shared bucket is left untested.
-4. Components of all links label all members of the classes.
-
-The band width is the largest whose chance to miss a pair at the threshold is at most ``MISS``.
+3. Components of these links are found. Where a bucket still holds several components, its pairs that cross them are
+   compared by sketch (of buckets with the same members one is taken), in blocks of ``BLOCK`` classes against ``BLOCK``. Close pairs join classes into suspect groups; a block
+   hands on a spanning forest of them, never all its pairs.
+4. Each suspect's whole set is shipped once, to its group, where all pairs that cross components are tested exactly. A
+   group of more than ``BLOCK_SHINGLES`` is split and its parts meet pairwise. Again forests leave, not pairs.
+5. Components of all links label all members of the classes.
+
+A pair at the threshold is missed if it shares no band, or if its sketches agree in fewer coordinates than the cut. The band
+width and the cut are the sharpest whose chances (binomial, by the coordinates' agreement) add up to at most ``MISS``; more
+similar pairs are missed less. Sketches never decide that a pair is a link. ``audit`` measures recall against brute force.
+
+Very long texts: a task holds a run of texts (``wordkernel.RUN_BYTES``) or one longer text, and that text's whole set.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +37,8 @@ from packspan.runtime import Cut, ship, table
 
 COORDINATES = 240
 MISS = 1e-8
-BLOCK = 256
-#: One byte of each coordinate is kept, to tell pairs below the threshold without their sets; pairs of pivots, which are
-#: many and mostly either copies or far apart, are told by so many of them.
-FEW_BYTES = 80
+BLOCK = 2048  #: classes a side whose sketches a task compares
+BLOCK_SHINGLES = 1 << 18  #: shingles a side, about, that a task compares exactly
 #: A table of classes or buckets with at most so many rows (24 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 _U = np.uint64
@@ -47,6 +50,19 @@ def band_rows(percent: int, t: int = COORDINATES, miss: float = MISS) -> int:
     return max((r for r in range(1, t + 1) if t % r == 0 and (1 - theta**r) ** (t // r) <= miss), default=1)
 
 
+def least_agreement(percent: int, t: int = COORDINATES, miss: float = MISS) -> int:
+    """Most coordinates that a pair at the threshold agrees in, but for what ``miss`` leaves beside the bands' misses."""
+    theta, r = percent / 100, band_rows(percent, t, miss)
+    room = miss - (1 - theta**r) ** (t // r)
+    below, k = 0.0, 0
+    while k <= t:
+        below += math.exp(math.lgamma(t + 1) - math.lgamma(k + 1) - math.lgamma(t - k + 1) + k * math.log(theta) + (t - k) * math.log1p(-theta)) if theta < 1 else float(k == t)
+        if below > room:
+            break
+        k += 1
+    return k
+
+
 def fast_sketches(h: np.ndarray, first: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     """Sketches (rows, t) of the sets h[first[k]:first[k + 1]]; rows of empty sets are left at the largest value."""
     n = len(first) - 1
@@ -148,67 +164,105 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _close(percent: int, size: int) -> float:
-    """Equal bytes, of ``size``, that the sketches of a pair at the threshold have but for five standard deviations."""
-    theta = percent / 100
-    return size * (theta - 5 * np.sqrt(theta * (1 - theta) / size))
+def _agreement(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Equal bytes of rows of 64-bit words."""
+    low = _U(0x7F7F7F7F7F7F7F7F)
+    x = one ^ two
+    return np.bitwise_count(~(((x & low) + low) | x | low)).sum(-1, dtype=np.int64)
+
+
+def _packed(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
 def _likely(percent: int):
     """Pairs whose sketches are close enough for the exact test."""
+    least = least_agreement(percent)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FEW_BYTES) for c in ("sa", "sb"))
-            keep = pa.array((one == two).sum(1) >= _close(percent, FEW_BYTES))
+            keep = pa.array(_agreement(_packed(batch.column("sa")), _packed(batch.column("sb"))) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return apply
 
 
+class _Forest:
+    """Union-find that tells whether a link joins two trees."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def link(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def _links(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
 def _suspects(percent: int):
-    """Rows of a block of queries (role 1) and all (role 0) with a partner of another component that is close by sketch."""
+    """A spanning forest of the pairs of queries (role 1) and all (role 0) of other components that are close by sketch."""
+    least = least_agreement(percent)
 
     def apply(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        comp, role = t["comp"].to_numpy(), t["role"].to_numpy()
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(comp), -1)
-        d, keep = np.flatnonzero(role == 0), np.zeros(len(comp), bool)
-        for q in np.flatnonzero(role == 1):
-            near = d[(comp[d] != comp[q]) & ((sketch[d] == sketch[q]).sum(1) >= _close(percent, sketch.shape[1]))]
-            keep[near] = True
-            keep[q] |= len(near) > 0
-        return t.select(["key", "x", "y", "rep", "comp", "role"]).filter(pa.array(keep))
+        rep, comp, role = (t[c].to_numpy() for c in ("rep", "comp", "role"))
+        sketch = _packed(t["sketch"])
+        d, q = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        theirs, forest, out = sketch[d], _Forest(), []
+        for at in range(0, len(q), 16):
+            mine = q[at : at + 16]
+            near = (_agreement(sketch[mine][:, None], theirs[None]) >= least) & (comp[mine][:, None] != comp[d][None])
+            for i, j in zip(*np.nonzero(near), strict=True):
+                a, b = int(rep[mine[i]]), int(rep[d[j]])
+                if forest.link(a, b):
+                    out.append((a, b))
+        return _links(out)
 
     return apply
 
 
-def _blocks(percent: int):
-    """A spanning forest of a block's verified links that cross components."""
+def _confirm(percent: int):
+    """A spanning forest of a cell's verified links that cross components; part 0 meets part 1, or itself alone."""
 
     def apply(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("rep", "ascending"), ("role", "ascending")]).combine_chunks()
-        rep, comp, role = (t[c].to_numpy() for c in ("rep", "comp", "role"))
-        sets = [np.sort(x) for x in t["set"].to_numpy(zero_copy_only=False)]
-        group: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while group.get(x, x) != x:
-                x = group[x]
-            return x
-
-        out = []
-        for q in np.flatnonzero(role == 1):
-            for j in np.flatnonzero((role == 0) & (comp != comp[q])):
-                x, y = top(int(comp[q])), top(int(comp[j]))
-                small, large = sorted((len(sets[q]), len(sets[j])))
-                if x == y or 100 * small < percent * large:
-                    continue
-                both = len(np.intersect1d(sets[q], sets[j], assume_unique=True))
-                if 100 * both >= percent * (small + large - both):
-                    group[max(x, y)] = min(x, y)
+        t = t.sort_by("rep").combine_chunks()
+        rep, comp, part = (t[c].to_numpy() for c in ("rep", "comp", "part"))
+        sets = t["set"].combine_chunks()
+        n = np.diff(sets.offsets.to_numpy())
+        _, flat = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum(n)])
+        row, marked = np.repeat(np.arange(len(n)), n), np.zeros(int(flat.max(initial=-1)) + 1, bool)
+        other = 1 if part.max(initial=0) else 0
+        able = part == other
+        forest, out = _Forest(), []
+        for q in np.flatnonzero(part == 0):
+            d = able & (comp != comp[q]) & (100 * np.minimum(n, n[q]) >= percent * np.maximum(n, n[q]))
+            if not other:
+                d[: q + 1] = False
+            if not d.any():
+                continue
+            mine = flat[first[q] : first[q + 1]]
+            marked[mine] = True
+            hit = marked[flat] & d[row]
+            both = np.bincount(row[hit], minlength=len(n))
+            marked[mine] = False
+            for j in np.flatnonzero(d & (100 * both >= percent * (n + n[q] - both))):
+                if forest.link(int(comp[q]), int(comp[j])):
                     out.append((int(rep[q]), int(rep[j])))
-        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+        return _links(out)
 
     return apply
 
@@ -243,8 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = Cut(members.join(_bounded(crowded.df), "key").select("key", "rep", "b"), "crowded")
     pairs = buckets.df.where("size = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b")).union(shared.df.where("rep <> b").select(F.col("rep").alias("a"), "b")).distinct()
     sketches = reps.select("rep", "sketch")
-    few = F.substring("sketch", 1, FEW_BYTES)
-    both = pairs.join(sketches.select(F.col("rep").alias("a"), few.alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), few.alias("sb")), "b")
+    both = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
     pairs = Cut(both.mapInArrow(_likely(percent), "a long, b long"), "pairs")
     ids = pairs.df.select(F.col("a").alias("id")).union(pairs.df.select(F.col("b").alias("id")))
     sets = _sets_of(base, ids, k)
@@ -273,25 +326,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _crossing(shared: DataFrame, sketches: DataFrame, found: DataFrame, base: DataFrame, k: int, percent: int) -> Cut | None:
     """Verified links between components that share a bucket; None if there are none to test."""
     placed = Cut(shared.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
-    per = placed.df.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("main")).where("comps > 1")
+    spread = F.xxhash64("rep")
+    per = placed.df.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(spread).alias("x"), F.try_sum(F.shiftrightunsigned(spread, 24)).alias("s"))
+    mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("main"), F.bit_xor("x").alias("x"), F.try_sum("s").alias("s")).where("comps > 1")
+    mixed = mixed.groupBy("comps", "size", "main", "x", "s").agg(F.min("key").alias("key"))  # of buckets with the same members one stays
     mixed = Cut(mixed.select("key", F.col("main.comp").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("size") - F.col("main.c")) / BLOCK).cast("int").alias("query_blocks")), "mixed")
     rows = placed.df.join(_bounded(mixed.df), "key")
-    spread = F.xxhash64("rep")
     every = rows.select("key", "rep", "comp", F.lit(0).alias("role"), F.pmod(spread, F.col("all_blocks")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("y"))
     asked = rows.where("comp <> main").select("key", "rep", "comp", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("x"), F.pmod(spread, F.col("query_blocks")).cast("int").alias("y"))
     blocks = every.union(asked).join(sketches, "rep")
-    suspects = Cut(blocks.groupBy("key", "x", "y").applyInArrow(_suspects(percent), "key long, x int, y int, rep long, comp long, role int"), "suspects")
+    suspects = Cut(blocks.groupBy("key", "x", "y").applyInArrow(_suspects(percent), "a long, b long").distinct(), "suspects")
     out = None
     if not suspects.df.isEmpty():
-        sets = _sets_of(base, suspects.df.select(F.col("rep").alias("id")), k)
-        tested = suspects.df.join(sets.df.withColumnRenamed("id", "rep"), "rep")
-        out = Cut(tested.groupBy("key", "x", "y").applyInArrow(_blocks(percent), "a long, b long").distinct(), "crossing")
-        sets.drop()
+        grouped = components(suspects.df)
+        sets = _sets_of(base, grouped.df.select(F.col("node").alias("id")), k)
+        comps = placed.df.select(F.col("rep").alias("node"), "comp").distinct()
+        where = Cut(grouped.df.join(comps, "node").join(sets.df.select(F.col("id").alias("node"), F.size("set").alias("n")), "node"), "suspect groups")
+        parts = where.df.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+        # a suspect goes to the cells of its part with every part of its group: to one cell, but in a large group
+        at = where.df.join(parts, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cells = at.select("component", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.col("node").alias("id"), "comp", F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("part"))
+        tested = cells.join(sets.df, "id").withColumnRenamed("id", "rep")
+        out = Cut(tested.groupBy("component", "x", "y").applyInArrow(_confirm(percent), "a long, b long").distinct(), "crossing")
+        for c in (grouped, sets, where):
+            c.drop()
     for c in (suspects, placed, mixed):
         c.drop()
     return out
 
 
+def audit(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, sample: int = 200) -> tuple[int, int]:
+    """Links of ``sample`` documents with all others by brute force, and how many of them ``found`` has in one component.
+
+    The sample is the ids with the smallest hashes that are in a component of several documents, or in none if there are
+    fewer; its sets (``sample`` rows) go to every task.
+    """
+    ship(docs.sparkSession)
+    base = _shape(docs, id_col, text_col)
+    comp = found.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "component_id")
+    several = comp.groupBy("component_id").agg(F.count(F.lit(1)).alias("c"))
+    drawn = comp.join(several, "component_id").orderBy(F.col("c") > 1, F.xxhash64("id"), ascending=[False, True]).limit(sample).select("id", "component_id")
+    chosen = [(r.id, r.component_id, np.array(r.set, np.int64)) for r in base.join(F.broadcast(drawn.select("id")), "id", "left_semi").mapInArrow(_whole_sets(k), "id long, set array<long>").join(F.broadcast(drawn), "id").collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        words, flat = np.unique(np.concatenate([a[2] for a in asked] or [np.zeros(0, np.int64)]), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum([len(a[2]) for a in asked])])
+        for batch in batches:
+            for run, h, starts in _sets(batch.column("text"), k):
+                h = h.view(np.int64)
+                at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
+                known = words[at] == h if len(words) else np.zeros(len(h), bool)
+                out = []
+                for r in range(run.hi - run.lo):
+                    mine, n = at[starts[r] : starts[r + 1]][known[starts[r] : starts[r + 1]]], int(starts[r + 1] - starts[r])
+                    if not len(mine):
+                        continue
+                    has = np.zeros(len(words), bool)
+                    has[mine] = True
+                    both = np.diff(np.concatenate([[0], np.cumsum(has[flat])])[first])
+                    for j in np.flatnonzero(100 * both >= percent * (np.diff(first) + n - both)):
+                        out.append((batch.column("id")[run.lo + r].as_py(), asked[j][0], asked[j][1]))
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["id", "asked", "want"])
+
+    links = base.mapInArrow(apply, "id long, asked long, want long").where("id <> asked")
+    got = links.join(comp, "id").agg(F.count(F.lit(1)), F.count_if(F.col("component_id") == F.col("want"))).first()
+    return int(got[0]), int(got[1])
+
+
 def op8_neardup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)

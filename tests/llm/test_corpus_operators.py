@@ -318,8 +318,10 @@ def test_near_copies_against_brute_force(spark, sf, k, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_copies(rows, k, percent)
 
 
-def test_crossing_blocks_link_what_pivots_miss(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 8)
+@pytest.mark.parametrize(("block", "shingles"), [(8, 1 << 18), (2048, 900), (8, 900)])
+def test_crossing_blocks_link_what_pivots_miss(spark, monkeypatch, block, shingles):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
     rng = np.random.default_rng(9)
     step = [f"s{i}" for i in range(200)]
     rows = []
@@ -332,6 +334,37 @@ def test_crossing_blocks_link_what_pivots_miss(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_copies(rows, 3, 85)
 
 
+def test_a_bucket_of_many_dissimilar_texts(spark):
+    """A common passage puts thousands of texts in the same buckets without making them alike; one pair among them is."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"common{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 25))) for i in range(3_000)]
+    rows.append((5_000, rows[2_500][1] + " more"))
+    rows += [(6_000 + i, "short text " + "zz " * i) for i in range(5)]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    assert neardup.audit(spark.createDataFrame(rows, "doc_id long, text string"), found, sample=50)[0] >= 1
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    assert got[5_000] == 2_500 and sum(got[i] == i for i in range(3_000)) == 3_000
+
+
+def test_audit_counts_links_and_what_was_found(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = neardup.near_duplicates(docs)
+    links, seen = neardup.audit(docs, found, sample=500)
+    assert links == seen > 0
+    alone = found.selectExpr("doc_id", "n_shingles", "doc_id as component_id", "true as kept")
+    links, seen = neardup.audit(docs, alone, sample=500)
+    assert links > 0 and seen == 0
+    assert neardup.audit(none(spark), neardup.near_duplicates(none(spark))) == (0, 0)
+
+
+def test_shuffles_in_place_of_broadcasts(spark, sf, monkeypatch):
+    docs = table(spark, sf, "documents")
+    want = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == want
+
+
 def test_near_copies_odd_rows(spark):
     docs = odd(spark).selectExpr("*", "'x' as n", "'y' as rep", "0 as component_id")
     got = neardup.near_duplicates(docs, k=3, percent=85).collect()

@@ -1,6 +1,7 @@
 """Vectorised kernels against plain Python."""
 
 import itertools
+import math
 import re
 
 import numpy as np
@@ -95,6 +96,17 @@ def test_band_rows_bound_the_misses():
         assert (1 - (percent / 100) ** r) ** (neardup.COORDINATES // r) <= neardup.MISS or r == 1
 
 
+def test_the_cut_of_sketches_and_bands_bound_the_misses_together():
+    for percent in (50, 80, 85, 95):
+        t, theta, r, c = neardup.COORDINATES, percent / 100, neardup.band_rows(percent), neardup.least_agreement(percent)
+        below = sum(math.comb(t, k) * theta**k * (1 - theta) ** (t - k) for k in range(c))
+        assert 0 < below + (1 - theta**r) ** (t // r) <= neardup.MISS * (1 + 1e-9)
+    assert neardup.least_agreement(100) == neardup.COORDINATES
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 3, (2, 50, 240)).astype(np.uint8)
+    assert (neardup._agreement(a.view(np.uint64), b.view(np.uint64)) == (a == b).sum(1)).all()
+
+
 @given(st.lists(st.lists(st.integers(0, 9), max_size=6), max_size=9))
 @settings(max_examples=150, deadline=None)
 def test_loser_tree_merges(runs):
