@@ -82,6 +82,70 @@ def test_sentencepiece_odd_texts(spark, library):
     assert sentencepiece_fst.encode(none(spark)).count() == 0
 
 
+def test_sentencepiece_long_and_repeated_texts(spark, library):
+    rng = np.random.default_rng(7)
+    run = "".join(rng.choice(list("abcdefghijkl日é"), 150_000))  # one chunk of several windows
+    texts = [run, "x" * 1_500, "word " * 300_000, run[:2_000], "tie", "tie"]
+    rows = sentencepiece_fst.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        assert r.sp_ids == library.encode(texts[r.doc_id]) and r.sp_same
+    query = {r.doc_id: r for r in sentencepiece_fst.op1_sentencepiece(spark, "/root/testdata/sf0.001").collect()}
+    for r in table(spark, "/root/testdata/sf0.001", "documents").collect():
+        ids = library.encode(r.text)
+        assert tuple(query[r.doc_id]) == (r.doc_id, len(ids), crc32(np.array(ids, "<u4").tobytes()), True)
+
+
+@pytest.mark.parametrize(("trim", "mapped", "fallback"), [(t, m, b) for t in (False, True) for m in (False, True) for b in (False, True)])
+def test_unigram_models_with_weights_and_character_maps(tmp_path, trim, mapped, fallback):
+    """Shortest paths by real weights, and the library's own character map, against the library."""
+    import random
+
+    import pyarrow as pa
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    from packspan.llm import wordkernel as K
+
+    r, proto = random.Random(5), pb.ModelProto()
+    pieces = set("abcdeé日▁")
+    while len(pieces) < 300:
+        pieces.add(r.choice(["", "", "▁"]) + "".join(r.choice("abcdeé日") for _ in range(r.randint(1, 6))))
+    listed = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256 if fallback else 0)), *((p, -r.uniform(1, 12), 1) for p in sorted(pieces))]
+    for piece, score, kind in listed:
+        proto.pieces.add(piece=piece, score=score, type=kind)
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = 1, fallback
+    proto.normalizer_spec.remove_extra_whitespaces = trim
+    if mapped:
+        rules = pb.ModelProto()
+        rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+        proto.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    raw = proto.SerializeToString()
+    (tmp_path / "m.model").write_bytes(raw)
+    lib, machine = sentencepiece.SentencePieceProcessor(model_proto=raw), sentencepiece_fst.Machine(str(tmp_path / "m.model"))
+    letters = list("abcdeé日  \t\nX▁ﬁ①ｱﾞ\u0301\u200b") + ["  ", "Ａ"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 50))) for _ in range(600)] + ["", " ", "  ▁ ", "▁", "ab" * 200]
+    cost = {i: -p.score for i, p in enumerate(proto.pieces)}
+    for run in K.runs(pa.array(texts, pa.string())):
+        ids, first = machine.encode_run(run)
+        for k in range(run.hi - run.lo):
+            got, want = ids[first[k] : first[k + 1]].tolist(), lib.encode(texts[run.lo + k])
+            # paths of equal weight: the library's running sums are of single precision
+            assert got == want or abs(sum(map(cost.get, got)) - sum(map(cost.get, want))) < 1e-9, texts[run.lo + k]
+            assert lib.decode(got) == lib.decode(want)
+
+
+def test_character_map_and_automaton():
+    machine = sentencepiece_fst.Automaton([b"ab", b"abc", b"b", b"\xc3\xa9"])
+    data = np.frombuffer("abcbé".encode(), np.uint8)
+    at = np.array([0, 1, 2, 3, 4])
+    got = sorted(zip(*(x.tolist() for x in machine.matches(data, at, np.full(5, len(data)))), strict=True))
+    assert got == [(0, 2, 0), (0, 3, 1), (1, 2, 2), (3, 4, 2), (4, 6, 3)]
+    assert sentencepiece_fst.character_map(b"") == {}
+    keys = np.random.default_rng(0).permutation(5000).astype(np.int64) * 977
+    t = sentencepiece_fst.Table(keys, np.arange(5000, dtype=np.int32))
+    assert (t.get(keys) == np.arange(5000)).all() and (t.get(keys + 1) == -1).all()
+
+
 # op2, op3, op9
 
 
