@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packspan.llm import lookup
 from packspan.llm import wordkernel as K
 from packspan.llm.components import components
 from packspan.runtime import Cut, ship, table
@@ -40,7 +41,7 @@ MISS = 1e-8
 BLOCK = 2048  #: classes a side whose sketches a task compares
 BLOCK_SHINGLES = 1 << 18  #: shingles a side, about, that a task compares exactly
 #: A table of classes or buckets with at most so many rows (24 bytes each) is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = lookup.BROADCAST_ROWS
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -152,7 +153,7 @@ def _shape(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _sets_of(base: DataFrame, ids: DataFrame, k: int) -> Cut:
     """Whole sets of the documents named; repeated rows of an id count once."""
     named = Cut(ids.distinct(), "named")
-    sets = base.join(_bounded(named.df), "id", "left_semi").mapInArrow(_whole_sets(k), "id long, set array<long>")
+    sets = lookup.semi(base, named.df, "id", BROADCAST_ROWS).mapInArrow(_whole_sets(k), "id long, set array<long>")
     out = Cut(sets, "sets")
     named.drop()
     return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packspan.llm import decontam, language, neardup, sentencepiece_fst, toxicity
+from packspan.llm import decontam, language, lookup, neardup, sentencepiece_fst, toxicity
 from packspan.llm.learning import remainder
 from packspan.runtime import Cut, table
 
@@ -36,7 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of repeated rows (equal id and text) one stays; rows without an id all stay.
     """
     found = Cut(neardup.near_duplicates(docs).select("doc_id", "kept"), "kept").df
-    out = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = Cut(found.where("not kept").select("doc_id").distinct(), "gone").df
+    out = lookup.anti(docs, gone, "doc_id").select(*docs.columns)
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return out
     named = out.where("doc_id is not null").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")

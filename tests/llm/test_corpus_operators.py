@@ -10,7 +10,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from packspan.llm import decontam, language, neardup, quality, sentencepiece_fst, sharding, sstable, toxicity, vectors, warc
+from packspan.llm import decontam, language, lookup, neardup, quality, sentencepiece_fst, sharding, sstable, toxicity, vectors, warc
 from packspan.llm.components import components
 from packspan.llm.learning import remainder
 from packspan.runtime import table
@@ -447,6 +447,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).df.count() == 0
 
 
+def test_lookups_with_and_without_a_sieve(spark):
+    rows = spark.createDataFrame([(i if i % 7 else None, f"t{i}", "x") for i in range(3_000)], "doc_id long, text string, _note string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 9_000, 3)] + [(-5,), (2**62,)], "doc_id long")
+    for few in (None, 0):
+        assert {r.doc_id for r in lookup.semi(rows, ids, "doc_id", few).collect()} == {i for i in range(0, 3_000, 3) if i % 7}
+        kept = lookup.anti(rows, ids, "doc_id", few)
+        assert kept.columns == rows.columns
+        assert Counter(r.doc_id for r in kept.collect()) == Counter(i if i % 7 else None for i in range(3_000) if i % 3 or i % 7 == 0)
+        assert lookup.semi(rows, ids.limit(0), "doc_id", few).count() == 0 and lookup.anti(rows, ids.limit(0), "doc_id", few).count() == 3_000
+
+
 # op10
 
 
