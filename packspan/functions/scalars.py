@@ -116,6 +116,10 @@ def is_archive_name(file_name: str | Column) -> Column:
     return extension(file_name).isin(*ARCHIVE_EXTENSIONS)
 
 
+def is_preview_name(file_name: str | Column) -> Column:
+    return extension(file_name).isin(*PREVIEW_EXTENSIONS)
+
+
 def is_text_name(file_name: str | Column) -> Column:
     return extension(file_name).isin(*TEXT_EXTENSIONS)
 

@@ -115,11 +115,15 @@ def parse_result(column: str | Column) -> Column:
 
 
 def batch_view(entries: DataFrame) -> DataFrame:
-    """Several archives as one tree: members below their archive's name, one level deeper, and a root row for each."""
-    file_name = paths.name("archive")
-    members = entries.select("archive", F.concat(file_name, F.lit("/"), "path").alias("path"), F.coalesce("size", F.lit(0)).alias("size"), "is_dir", (paths.depth("path") + 1).alias("depth"))
-    roots = entries.select("archive").distinct().select("archive", file_name.alias("path"), F.lit(0).cast("long").alias("size"), F.lit(True).alias("is_dir"), F.lit(0).alias("depth"))
-    return roots.union(members)
+    """Several archives as one tree: members below their archive's name, one level deeper, and a root row for each.
+
+    Archives of the same name in different places are told apart as files are: the second one is ``name (1).zip``.
+    """
+    archives = unique_names(entries.select("archive").distinct().withColumn("_file", paths.name("archive")), "_file", ["archive"]).select("archive", "unique_name")
+    named = entries.join(archives, "archive")
+    members = named.select(F.concat("unique_name", F.lit("/"), "path").alias("path"), "archive", F.coalesce("size", F.lit(0)).alias("size"), "is_dir", (paths.depth("path") + 1).alias("depth"))
+    roots = archives.select(F.col("unique_name").alias("path"), "archive", F.lit(0).cast("long").alias("size"), F.lit(True).alias("is_dir"), F.lit(0).alias("depth"))
+    return roots.union(members).select("archive", "path", "size", "is_dir", "depth")
 
 
 # Statistics

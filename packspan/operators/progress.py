@@ -23,13 +23,17 @@ def counted(rows: DataFrame, size: str | None = None) -> tuple[DataFrame, Observ
 
 @contextmanager
 def cancellable(spark: SparkSession, tag: str) -> Iterator[str]:
-    """Work started inside carries the tag; ``cancel`` from another thread ends it."""
-    spark.addTag(tag)
+    """Jobs started inside carry the tag; ``cancel`` from another thread ends them, their readers and writers included.
+
+    Session tags reach only some of a session's work, so the tag is put on the jobs themselves.
+    """
+    spark.sparkContext.addJobTag(tag)
     try:
         yield tag
     finally:
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
 
 
-def cancel(spark: SparkSession, tag: str) -> list[str]:
-    return spark.interruptTag(tag)
+def cancel(spark: SparkSession, tag: str) -> None:
+    """End all running jobs with the tag; the threads that wait for them get an error."""
+    spark.sparkContext.cancelJobsWithTag(tag)

@@ -20,16 +20,16 @@ def by_name(entries: DataFrame, query: str, path: str = "path") -> DataFrame:
     return entries.where(F.contains(F.lower(name(path)), F.lit(query.lower())))
 
 
-def by_content(texts: DataFrame, query: str, max_chars: int | None = 1_000_000, path: str = "path", text: str = "text") -> DataFrame:
+def by_content(texts: DataFrame, query: str, max_bytes: int | None = 1_000_000, path: str = "path", text: str = "text") -> DataFrame:
     """(path, match_count, first_line, snippet) of the texts with a line that holds the query, whatever the case.
 
     match_count counts lines, first_line is 1-based, the snippet is the first such line without outer white space, cut to
-    120 characters. Texts of ``max_chars`` or more are left out, as is everything for an empty query. Lines stay within
+    120 characters. Texts of ``max_bytes`` (UTF-8) or more are left out, as is everything for an empty query. Lines stay within
     their row: no explode and no shuffle.
     """
     if not query:
         return texts.limit(0).select(F.col(path).alias("path"), F.lit(0).cast("long").alias("match_count"), F.lit(0).alias("first_line"), F.lit("").alias("snippet"))
-    rows = texts if max_chars is None else texts.where(F.length(text) < max_chars)
+    rows = texts if max_bytes is None else texts.where(F.octet_length(text) < max_bytes)
     q = F.lit(query.lower())
     rows = rows.where(F.contains(F.lower(text), q))
     numbered = F.transform(F.split(text, LINE_ENDS), lambda line, i: F.struct((i + 1).alias("no"), line.alias("line")))

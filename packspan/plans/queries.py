@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packspan.functions import paths, scalars
-from packspan.operators import catalog, results, search, selection, volumes
+from packspan.operators import catalog, progress, results, search, selection, volumes
 from packspan.runtime import table
 
 WORD = "tion"
@@ -44,13 +44,13 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def content_search(spark, d):
-    return search.by_content(texts(spark, d), WORD, max_chars=None)
+    return search.by_content(texts(spark, d), WORD, max_bytes=None)
 
 
 CONTENT = f"""
 lines AS (
   SELECT doc_id AS path, i AS no, lines[i] AS line
-  FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10)) AS lines FROM documents WHERE length(text) < 1000000), unnest(range(1, len(lines) + 1)) AS t(i)
+  FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS t(i)
 ), hits AS (
   SELECT path, count(*)::BIGINT AS match_count, min(no)::INTEGER AS first_line, arg_min(line, no) AS line FROM lines WHERE contains(lower(line), '{WORD}') GROUP BY path
 ), found AS (
@@ -59,7 +59,7 @@ lines AS (
 
 
 def search_page(spark, d):
-    return search.page(search.by_content(texts(spark, d), WORD, max_chars=None), after=10)
+    return search.page(search.by_content(texts(spark, d), WORD, max_bytes=None), after=10)
 
 
 def filename_search(spark, d):
@@ -263,16 +263,78 @@ def timestamps(spark, d):
     return table(spark, d, "events").select("event_id", scalars.minute_label("ts").alias("label"))
 
 
+RESULT_CASES = ['{"total":5,"success":4,"error":1}', '{"total":2}', "{}", "not json", "", "[1]"]
+
+
+def result_json(spark, d):
+    cases = spark.createDataFrame([(c,) for c in RESULT_CASES], "result string")
+    return cases.select("result", catalog.parse_result("result").alias("r")).select("result", "r.total", "r.success", "r.error")
+
+
+#: One name after another of the parts gets one of these endings.
+ENDINGS = ["txt", "ZIP", "png", "part1.rar", "7z.002", "r03", "tar.gz", "mp4", "md", "none.", "lz4", "Py"]
+
+
+def _named(spark, d):
+    ending = F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("p_partkey") % len(ENDINGS) + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("files/"), F.col("p_partkey").cast("string"), F.lit("."), ending).alias("path"), F.col("p_size").cast("long").alias("size"), F.lit(False).alias("is_dir"))
+
+
+NAMED = f"named AS (SELECT p_partkey, 'files/' || p_partkey || '.' || [{', '.join(repr(e) for e in ENDINGS)}][p_partkey % {len(ENDINGS)} + 1] AS path, p_size::BIGINT AS size FROM part), told AS (SELECT *, lower(string_split(path, '.')[-1]) AS ext FROM named)"
+
+
+def file_kinds(spark, d):
+    name = paths.name("path")
+    return _named(spark, d).select("path", scalars.is_archive_name(name).alias("archive"), scalars.is_preview_name(name).alias("preview"), scalars.is_text_name(name).alias("text"))
+
+
+def batch_archives(spark, d):
+    return selection.batch_archives(_named(spark, d)).select("path")
+
+
+def toggled_on(spark, d):
+    entries = page_entries(spark, d)
+    before = entries.where("ordinal % 10 = 0").select(F.col("path").alias("sel"))
+    return selection.toggled(before, entries, entries.selectExpr("min(archive)").first()[0], True)
+
+
+def toggled_off(spark, d):
+    entries = page_entries(spark, d)
+    before = entries.where("ordinal % 2 = 0").select(F.col("path").alias("sel")).distinct()
+    return selection.toggled(before, entries, entries.selectExpr("min(archive)").first()[0], False)
+
+
+def scan_counter(spark, d):
+    rows, seen = progress.counted(table(spark, d, "documents"), "n_chars")
+    rows.where("lang = 'de'").write.format("noop").mode("overwrite").save()  # every file visited counts, skipped ones too
+    return spark.createDataFrame([(seen.get["rows"], seen.get["bytes"])], "rows long, bytes long")
+
+
+LEVEL_FORMATS = ["zip", "7z", "gz", "tgz", "bz2", "zst", "xz", "lzma", "lz4"]
+
+
+def levels(spark, d):
+    rows = [(f, n, scalars.compression_level(f, n)) for f in LEVEL_FORMATS for n in range(-2, 31)]
+    return spark.createDataFrame(rows, "fmt string, asked int, level int")
+
+
+def size_limited_search(spark, d):
+    return search.by_content(texts(spark, d), WORD, max_bytes=2_000)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         content_search, search_page, filename_search, match_positions, nearest_match, derive_dirs, dir_sizes, entries_dedup, entries_merged, entries_sorted, path_parts, safe_join, unique_names,
         select_prefix, selection_stats, grouped_selection, tree_visible, tree_query, archive_totals, merge_batch, batch_totals, volume_parts, volume_sets, volume_offsets, size_label, content_hash, error_class,
         progress_running, progress_pct, result_counts, json_props, json_entries, listing_json, format_lookup, compressible, timestamps,
+        result_json, file_kinds, batch_archives, toggled_on, toggled_off, scan_counter, levels, size_limited_search,
     )
 }
 
 _ERRORS = f"SELECT message, CASE WHEN message = '' THEN 'failed' WHEN regexp_matches(lower(message), '{'|'.join(scalars.PASSWORD_WORDS)}') THEN 'wrong_password' WHEN regexp_matches(lower(message), '{'|'.join(scalars.LARGE_WORDS)}') THEN 'large_member' ELSE 'io' END AS class FROM (VALUES {_values(ERROR_CASES)}) AS t(message)"
+_ANY = lambda words: ", ".join(repr(w) for w in words)
+_FIRST = "(SELECT min(archive) FROM pages_e)"
 _SEGMENTS = "list_filter(string_split(replace(raw, chr(92), '/'), '/'), lambda s: s <> '' AND s <> '.')"
 
 ORACLES = {
@@ -280,7 +342,7 @@ ORACLES = {
     "search_page": f"WITH {CONTENT} SELECT * FROM found WHERE path > 10 ORDER BY path LIMIT 200",
     "filename_search": f"WITH {PAGES} SELECT archive, path, size FROM pages_e WHERE contains(lower(string_split(path, '/')[-1]), '12')",
     "match_positions": """
-        WITH t AS (SELECT doc_id AS path, lower(substring(text, 1, 50000)) AS s FROM documents WHERE contains(lower(text), 'enen')),
+        WITH t AS (SELECT doc_id AS path, lower(text) AS s FROM documents WHERE contains(lower(text), 'enen')),
         c AS (SELECT path, string_split(s, 'e') AS pieces, s FROM t),
         places AS (SELECT path, s, unnest(list_transform(range(1, len(pieces)), lambda i: list_sum(list_transform(pieces[1:i], lambda p: length(p) + 1))))::INTEGER AS position FROM c),
         hit AS (SELECT path, position FROM places WHERE substring(s, position, 4) = 'enen')
@@ -334,4 +396,14 @@ ORACLES = {
     "format_lookup": "SELECT * FROM (VALUES ('x.zip', 'zip', 'ZIP', 'generic'), ('x.tar.gz', 'tgz', 'TAR.GZ', 'generic'), ('x.tgz', 'tgz', 'TAR.GZ', 'generic'), ('x.TAR.ZST', 'tzst', 'TAR.ZST', 'generic'), ('x.pf8', 'pfs', 'PFS/PF6/PF8', 'galgame'), ('x.sar', 'nsa', 'NSA/SAR', 'galgame'), ('x.iso', 'iso', 'ISO', 'galgame'), ('x.txt', NULL, NULL, NULL), ('x.lz4', 'lz4', 'LZ4', 'single'), ('zip', NULL, NULL, NULL)) AS t(name, key, label, grp)",
     "compressible": "SELECT path FROM (SELECT p_partkey || '.' || ['txt', 'zip', '7Z', 'md', 'rar'][p_size % 5 + 1] AS path FROM part) WHERE NOT regexp_matches(lower(path), '\\.(zip|7z|rar)$')",
     "timestamps": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS label FROM events",
+    "result_json": """SELECT * FROM (VALUES ('{"total":5,"success":4,"error":1}', 5, 4, 1), ('{"total":2}', 2, 0, 0), ('{}', 0, 0, 1), ('not json', 0, 0, 1), ('', 0, 0, 1), ('[1]', 0, 0, 1)) AS t(result, total, success, error)""",
+    "file_kinds": f"WITH {NAMED} SELECT path, ext IN ({_ANY(scalars.ARCHIVE_EXTENSIONS)}) AS archive, ext IN ({_ANY(scalars.PREVIEW_EXTENSIONS)}) AS preview, ext IN ({_ANY(scalars.TEXT_EXTENSIONS)}) AS text FROM told",
+    "batch_archives": f"WITH {NAMED} SELECT path FROM told WHERE ext IN ({_ANY(scalars.ARCHIVE_EXTENSIONS)}) OR regexp_matches(path, '\\.(part[0-9]+\\.rar|[r-z][0-9][0-9]|7z\\.[0-9]+)$')",
+    "toggled_on": f"WITH {PAGES} SELECT path AS sel FROM pages_e WHERE ordinal % 10 = 0 UNION SELECT path FROM pages_e WHERE path = {_FIRST} OR starts_with(path, {_FIRST} || '/')",
+    "toggled_off": f"WITH {PAGES} SELECT DISTINCT path AS sel FROM pages_e WHERE ordinal % 2 = 0 AND path <> {_FIRST} AND NOT starts_with(path, {_FIRST} || '/')",
+    "scan_counter": "SELECT count(*)::BIGINT AS rows, sum(n_chars)::BIGINT AS bytes FROM documents",
+    "levels": f"""WITH l AS (SELECT fmt, asked::INTEGER AS asked FROM (SELECT unnest([{_ANY(LEVEL_FORMATS)}]) AS fmt), unnest(range(-2, 31)) AS t(asked))
+        SELECT fmt, asked, (CASE WHEN fmt IN ('zip', 'gz', 'tgz') THEN greatest(0, least(asked, 9)) WHEN fmt = '7z' THEN CASE WHEN asked <= 0 THEN 0 WHEN asked <= 3 THEN 3 WHEN asked <= 6 THEN 5 ELSE 9 END
+        WHEN fmt = 'bz2' THEN greatest(1, least(asked, 9)) WHEN fmt = 'zst' THEN CASE WHEN asked < 1 THEN 3 ELSE least(asked, 22) END END)::INTEGER AS level FROM l""",
+    "size_limited_search": f"WITH {CONTENT} SELECT found.* FROM found JOIN documents ON path = doc_id WHERE octet_length(encode(text)) < 2000",
 }

@@ -13,6 +13,7 @@ import time
 import uuid
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -21,9 +22,42 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from packspan.functions import paths
 from packspan.functions.scalars import FORMATS, compression_level
+from packspan.sinks import formats
 
 _TARS = {"tar": None, "tgz": "gz", "tbz2": "bz2", "txz": "xz", "tzst": "zst"}
 _SINGLE = ("gz", "bz2", "xz", "zst", "lzma", "lz4")
+_CONTAINERS = {
+    "7z": lambda f, level, most, parts: formats.SevenZip(f, level),
+    "rar": lambda f, level, most, parts: formats.Rar(f, most, parts),
+    "iso": lambda f, level, most, parts: formats.Iso(f),
+    "nsa": lambda f, level, most, parts: formats.Nsa(f, level),
+    "ypf": lambda f, level, most, parts: formats.Ypf(f),
+    "xp3": lambda f, level, most, parts: formats.Xp3(f),
+    "pf6": lambda f, level, most, parts: formats.Pfs(f, False),
+    "pf8": lambda f, level, most, parts: formats.Pfs(f, True),
+}
+
+
+class _Split:
+    """A stream cut into files of ``most`` bytes."""
+
+    def __init__(self, most: int, opened):
+        self.most, self.opened, self.n, self.left, self.f = most, opened, 0, most, opened(0)
+
+    def write(self, data: bytes) -> int:
+        view = memoryview(data)
+        while len(view):
+            if not self.left:
+                self.f.close()
+                self.n += 1
+                self.f, self.left = self.opened(self.n), self.most
+            part, view = view[: self.left], view[self.left :]
+            self.f.write(bytes(part))
+            self.left -= len(part)
+        return len(data)
+
+    def close(self) -> None:
+        self.f.close()
 
 
 @dataclass
@@ -79,7 +113,9 @@ class _Single:
         self.s.close()
 
 
-def _packer(fmt: str, f, level: int | None):
+def _packer(fmt: str, f, level: int | None, volume_bytes: int | None = None, parts=None):
+    if fmt in _CONTAINERS:
+        return _CONTAINERS[fmt](f, level, volume_bytes, parts)
     level = None if level is None else compression_level(fmt, level)
     if fmt == "zip":
         return _Zip(f, level)
@@ -102,10 +138,11 @@ class _Writer(DataSourceWriter):
 
     def commit(self, messages: list[Written]) -> None:
         store, _ = self._fs()
-        for m in messages:
-            for written, final in m.files if m else []:
-                store.create_dir(posixpath.dirname(final), recursive=True)
-                store.move(written, final)
+        files = [f for m in messages if m for f in m.files]
+        for folder in sorted({posixpath.dirname(final) for _, final in files}):
+            store.create_dir(folder, recursive=True)
+        with ThreadPoolExecutor(32) as pool:
+            list(pool.map(lambda f: store.move(*f), files))
         self._sweep()
 
     def abort(self, messages: list[Written]) -> None:
@@ -126,28 +163,36 @@ class _Writer(DataSourceWriter):
 
 class _Packing(_Writer):
     def write(self, rows: Iterator) -> Written:
-        fmt, level = self.options["format"], self.options.get("level")
-        ext = FORMATS[fmt][2]
+        fmt, level, most = self.options["format"], self.options.get("level"), self.options.get("volume_bytes")
+        ext, most = FORMATS[fmt][2] if fmt in FORMATS and FORMATS[fmt][2] else fmt, None if most is None else int(most)
         store, root, staging = self._staged()
-        files, now, out, packer, members = [], None, None, None, 0
+        files, now, out, packer, members, skipped = [], None, None, None, 0, 0
+
+        def opened(n: int | None):
+            """The archive's file, or its volume n."""
+            name = f"{staging}/{uuid.uuid4().hex}"
+            tail = f".{ext}" if n is None else f".part{n + 1}.rar" if fmt == "rar" else f".{ext}.{n + 1:03d}"
+            files.append((name, f"{root}/{now}{tail}"))
+            return store.open_output_stream(name, compression=None)
 
         def close() -> None:
             if packer is not None:
                 packer.close()
-                out.close()
+                (packer.f if fmt == "rar" else out).close()  # a RAR set's writer closes each volume but the last
 
         for r in rows:
             if r.target != now:
                 close()
                 now = r.target
-                name = f"{staging}/{uuid.uuid4().hex}"
-                out = store.open_output_stream(name, compression=None)
-                packer = _packer(fmt, out, None if level is None else int(level))
-                files.append((name, f"{root}/{now}.{ext}"))
+                out = opened(None) if most is None else opened(0) if fmt == "rar" else _Split(most, opened)
+                packer = _packer(fmt, out, None if level is None else int(level), most, opened)
+            if r.content is None:
+                skipped += 1
+                continue
             packer.add(r.path, bytes(r.content))
             members += 1
         close()
-        return Written(files, members, 0)
+        return Written(files, members, skipped)
 
 
 class _Unpacking(_Writer):
@@ -188,17 +233,20 @@ def _save(df: DataFrame, source: str, folder: str, **options) -> None:
     df.write.format(source).options(path=folder, staging=staging, **{k: str(v) for k, v in options.items() if v is not None}).mode("append").save()
 
 
-def pack(members: DataFrame, folder: str, fmt: str, level: int | None = None) -> None:
+def pack(members: DataFrame, folder: str, fmt: str, level: int | None = None, volume_bytes: int | None = None) -> None:
     """Write members(target, path, content) as one archive ``folder/target.ext`` for each target.
 
-    Members are in order of their paths. A target is a task's: split large sets into several targets. Unsafe paths are
-    refused as a whole before anything is written. Single-stream formats hold one member.
+    ``fmt`` is a key of ``FORMATS`` (``pf6`` or ``pf8`` for PFS). ``volume_bytes`` parts 7z and RAR archives into volumes.
+    Members are in order of their paths; those without content are skipped. A target is a task's: split large sets into
+    several targets. Unsafe paths are refused as a whole before anything is written. Single-stream formats hold one member.
     """
+    if volume_bytes is not None and (fmt not in ("7z", "rar") or volume_bytes <= 0):
+        raise ValueError("only 7z and RAR archives have volumes")
     bad = members.select(paths.join_error("path").alias("e"), paths.join_error("target").alias("t")).where("e is not null or t is not null").limit(1).collect()
     if bad:
         raise ValueError(f"unsafe member or target: {bad[0].e or bad[0].t}")
     rows = members.select("target", paths.normalise("path").alias("path"), "content")
-    _save(rows.repartition("target").sortWithinPartitions("target", "path"), "archive_writer", folder, format=fmt, level=level)
+    _save(rows.repartition("target").sortWithinPartitions("target", "path"), "archive_writer", folder, format=fmt, level=level, volume_bytes=volume_bytes)
 
 
 def unpack(members: DataFrame, folder: str) -> DataFrame:

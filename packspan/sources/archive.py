@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from packspan.functions import paths
-from packspan.operators.volumes import MODERN_RAR, OLD_RAR, SEVEN_ZIP
+from packspan.operators.volumes import MODERN_RAR, OLD_RAR, SEVEN_ZIP, SEVEN_ZIP_MAGIC
 from packspan.runtime import ship
 from packspan.schema import MEMBERS, RAW_ENTRIES
 
 CHUNK_BYTES = 32 << 20
+MAX_VALUE = (1 << 31) - (1 << 16)
 
 
 class Archive(InputPartition):
@@ -79,6 +80,16 @@ def volume_sets(uris: list[str]) -> list[tuple[str, list[str]]]:
     return [(own[0][1], [u for _, u in own]) for own in (sorted(v) for v in sets.values())]
 
 
+def _is_set(first: str) -> bool:
+    """Numbered files are a 7z set only if the first one has the magic number; RAR parts say so by their names."""
+    name = first.rpartition("/")[2]
+    if re.match(MODERN_RAR, name) or re.match(OLD_RAR, name) or name.lower().endswith(".rar"):
+        return True
+    store, path = _store(first)
+    with store.open_input_file(path) as f:
+        return f.read(len(SEVEN_ZIP_MAGIC)) == SEVEN_ZIP_MAGIC
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = {k.lower(): v for k, v in options.items()}
@@ -86,7 +97,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[Archive]:
         uris = listed(self.options["path"])
         if self.options.get("volumes", "").lower() == "true":
-            return [Archive(first, parts) for first, parts in volume_sets(uris)]
+            return [a for first, parts in volume_sets(uris) for a in ([Archive(first, parts)] if len(parts) == 1 or _is_set(first) else [Archive(u, [u]) for u in parts])]
         return [Archive(u, [u]) for u in uris]
 
     def _members(self, a: Archive):
@@ -200,13 +211,14 @@ _registered: set[tuple[str, int]] = set()
 def register(spark: SparkSession) -> None:
     """Make the sources known to a session, for ``spark.read.format`` and ``CREATE TEMPORARY VIEW ... USING``."""
     from packspan.sinks.archive import ArchiveWriter, FolderWriter
+    from packspan.sources.folder import FolderFiles
 
     ship(spark)
     session = spark._jsparkSession.hashCode()
     if (spark.sparkContext.applicationId, session) in _registered:
         return
     _registered.add((spark.sparkContext.applicationId, session))
-    for source in (ArchiveEntries, ArchiveMembers, ArchiveWriter, FolderWriter):
+    for source in (ArchiveEntries, ArchiveMembers, ArchiveWriter, FolderWriter, FolderFiles):
         spark.dataSource.register(source)
 
 
@@ -219,8 +231,17 @@ def entries(spark: SparkSession, path: str, **options) -> DataFrame:
     return parts.select("archive", "format", "ordinal", "path", "name", "parent", "ext", "depth", "size", "is_dir", "is_encrypted", F.lit(False).alias("implied"), "entry_type", "error")
 
 
+def whole_members(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Decoded members, one row each without an exchange: archive, format, ordinal, path, size, content, error.
+
+    A task holds a member; one of more than a value can hold is an error row.
+    """
+    options |= {"chunk_bytes": MAX_VALUE + 1, "max_member_bytes": min(int(options.get("max_member_bytes", MAX_VALUE)), MAX_VALUE)}
+    return members(spark, path, **options).drop("chunk_no", "offset")
+
+
 def members(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Decoded members, in chunks; see ``whole`` for one row each."""
+    """Decoded members, in chunks; see ``whole_members`` for one row each."""
     register(spark)
     return spark.read.format("archive_members").options(**{k: str(v) for k, v in options.items()}).option("path", path).load()
 

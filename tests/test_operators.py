@@ -174,7 +174,7 @@ def test_results_and_progress(spark):
     assert seen_rows.count() == 10 and seen.get == {"rows": 10, "bytes": 45}
     with progress.cancellable(spark, "job-1") as tag:
         assert tag in spark.getTags()
-    assert progress.cancel(spark, "job-1") == []
+    progress.cancel(spark, "job-1")  # nothing runs under it
 
 
 def test_streams(spark, tmp_path):
@@ -207,3 +207,40 @@ def test_queries_equal_their_sql(spark, sf, name):
     df = registry.queries()[name](spark, sf)
     assert sorted(df.columns) == columns
     assert sorted((tuple(r) for r in df.select(*columns).collect()), key=repr) == rows
+
+
+def test_a_running_job_is_cancelled(spark):
+    """Work under a tag ends when the tag is cancelled from another thread, in the middle of a reader's task."""
+    import threading
+    import time
+
+    from pyspark import inheritable_thread_target
+
+    def slow_rows(batches):
+        for b in batches:
+            time.sleep(60)
+            yield b
+
+    failed = []
+
+    def work():
+        with progress.cancellable(spark, "long-scan"):
+            try:
+                spark.range(0, 4, 1, 4).mapInArrow(slow_rows, "id long").write.format("noop").mode("overwrite").save()
+            except Exception as e:
+                failed.append(str(e))
+
+    t = threading.Thread(target=inheritable_thread_target(spark)(work))
+    begun = time.time()
+    t.start()
+    while t.is_alive() and time.time() - begun < 30:
+        time.sleep(0.5)
+        progress.cancel(spark, "long-scan")
+    assert not t.is_alive() and failed and "cancel" in failed[0].lower()
+    assert spark.range(3).count() == 3
+
+
+def test_archives_of_one_name_are_told_apart(spark):
+    rows = [("x/a.zip", "p", 1, False), ("y/a.zip", "p", 2, False), ("y/b.zip", "q", 3, False)]
+    got = catalog.batch_view(spark.createDataFrame(rows, "archive string, path string, size long, is_dir boolean")).collect()
+    assert sorted((r.path, r.size, r.depth) for r in got) == [("a (1).zip", 0, 0), ("a (1).zip/p", 2, 1), ("a.zip", 0, 0), ("a.zip/p", 1, 1), ("b.zip", 0, 0), ("b.zip/q", 3, 1)]
