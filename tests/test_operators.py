@@ -173,7 +173,7 @@ def test_results_and_progress(spark):
     seen_rows, seen = progress.counted(spark.range(10).withColumn("n", F.col("id")), "n")
     assert seen_rows.count() == 10 and seen.get == {"rows": 10, "bytes": 45}
     with progress.cancellable(spark, "job-1") as tag:
-        assert tag in spark.getTags()
+        assert tag in spark.sparkContext.getJobTags()
     progress.cancel(spark, "job-1")  # nothing runs under it
 
 
