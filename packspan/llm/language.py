@@ -3,9 +3,10 @@
 A text's UTF-8 bytes are cut into windows of fixed length, the last filled up with zero bytes. Bytes are embedded,
 convolved with filters of several widths, max-pooled over the window and put through a softmax. Windows of a text vote
 by their mean log-probability, weighted by the bytes they hold, so every byte of a long text counts. Training is by
-Adam on windows of a bounded sample of labelled texts.
+Adam on all windows of a bounded sample of labelled texts.
 
-Memory: a task holds the activations of ``RUN_BYTES`` of text; one task holds the sample's windows.
+Memory: a task holds the activations of ``RUN_BYTES`` of text, also of a longer text, which is gone through in slices; one
+task holds the sample's windows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packspan.llm import wordkernel as K
-from packspan.llm.learning import fit_in_task, remainder
+from packspan.llm.learning import fit_in_task, one_of_each, remainder
 from packspan.runtime import ship, table
 
 RUN_BYTES = 1 << 17
@@ -32,11 +33,10 @@ _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 class Config:
     bound: int = 4_000  #: labelled texts that the model may learn from
     window: int = 256
-    windows_each: int = 2  #: training windows of a text
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 8  #: of each width
     dims: int = 8
-    epochs: int = 8
+    epochs: int = 3
     batch: int = 64
     rate: float = 0.01
 
@@ -84,6 +84,33 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     return np.where(inside, data[np.minimum(at, max(len(data) - 1, 0))], 0).astype(np.uint8) if len(row) else np.zeros((0, length), np.uint8), row, held
 
 
+def gradients(model: Model, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy of windows ``x`` with languages ``y``, and its gradient by each array of the model."""
+    n, dims = len(y), model.embed.shape[1]
+    cols = model.columns(x)
+    z = (cols @ model.kernel).reshape(*x.shape, -1)
+    top = z.argmax(1)  # (batch, filters)
+    h = np.take_along_axis(z, top[:, None], 1)[:, 0] + model.kernel_bias
+    a = np.maximum(h, 0)
+    o = a @ model.dense + model.dense_bias
+    o = np.exp(o - o.max(1, keepdims=True))
+    o /= o.sum(1, keepdims=True)
+    loss = float(-np.log(o[np.arange(n), y]).mean())
+    o[np.arange(n), y] -= 1
+    o /= n
+    dh = (o @ model.dense.T) * (h > 0)  # only the largest position of a filter passes its gradient on
+    src = cols.reshape(*x.shape, -1)[np.arange(n)[:, None], top]  # (batch, filters, model.span * dims)
+    grad = {"dense": a.T @ o, "dense_bias": o.sum(0), "kernel_bias": dh.sum(0), "kernel": np.einsum("bfk,bf->kf", src, dh) * mask}
+    de = (dh[:, :, None] * model.kernel.T[None]).reshape(n, -1, model.span, dims)
+    at = top[:, :, None] + np.arange(model.span)
+    inside = at < model.window
+    letters = np.take_along_axis(x, np.minimum(at, model.window - 1).reshape(n, -1), 1).reshape(at.shape)
+    g = np.zeros_like(model.embed)
+    np.add.at(g, letters[inside], de[inside])
+    grad["embed"] = g
+    return loss, grad
+
+
 def fit(windows: np.ndarray, y: np.ndarray, langs: list[str], cfg: Config = Config()) -> Model:
     rng = np.random.default_rng(3)
     span, total = max(cfg.widths), cfg.filters * len(cfg.widths)
@@ -106,26 +133,7 @@ def fit(windows: np.ndarray, y: np.ndarray, langs: list[str], cfg: Config = Conf
             pick = order[lo : lo + cfg.batch]
             x, t = windows[pick], t + 1
             model = Model(langs, cfg.window, span, **p)
-            cols = model.columns(x)
-            z = (cols @ p["kernel"]).reshape(*x.shape, -1)
-            top = z.argmax(1)  # (batch, filters)
-            h = np.take_along_axis(z, top[:, None], 1)[:, 0] + p["kernel_bias"]
-            a = np.maximum(h, 0)
-            o = a @ p["dense"] + p["dense_bias"]
-            o = np.exp(o - o.max(1, keepdims=True))
-            o /= o.sum(1, keepdims=True)
-            o[np.arange(len(pick)), y[pick]] -= 1
-            o /= len(pick)
-            dh = (o @ p["dense"].T) * (h > 0)  # only the largest position of a filter passes its gradient on
-            src = cols.reshape(*x.shape, -1)[np.arange(len(pick))[:, None], top]  # (batch, filters, span * dims)
-            grad = {"dense": a.T @ o, "dense_bias": o.sum(0), "kernel_bias": dh.sum(0), "kernel": np.einsum("bfk,bf->kf", src, dh) * mask}
-            de = (dh[:, :, None] * p["kernel"].T[None]).reshape(len(pick), -1, span, cfg.dims)
-            at = top[:, :, None] + np.arange(span)
-            inside = at < cfg.window
-            letters = np.take_along_axis(x, np.minimum(at, cfg.window - 1).reshape(len(pick), -1), 1).reshape(at.shape)
-            g = np.zeros_like(p["embed"])
-            np.add.at(g, letters[inside], de[inside])
-            grad["embed"] = g
+            grad = gradients(model, x, y[pick], mask)[1]
             for k in p:
                 m1[k] = 0.9 * m1[k] + 0.1 * grad[k]
                 m2[k] = 0.999 * m2[k] + 0.001 * grad[k] ** 2
@@ -143,9 +151,8 @@ def _sampled(cfg: Config):
                 for r in range(run.hi - run.lo):
                     mine = np.flatnonzero(row == r)
                     mine = mine[held[mine] >= min(32, held[mine].max(initial=0))]
-                    for i in mine[np.unique(np.linspace(0, len(mine) - 1, cfg.windows_each).astype(int))] if len(mine) else []:
-                        out_l.append(langs[run.lo + r])
-                        out_w.append(x[i].tobytes())
+                    out_l += [langs[run.lo + r]] * len(mine)
+                    out_w += [x[i].tobytes() for i in mine]
             yield pa.RecordBatch.from_arrays([pa.array(out_l, pa.string()), pa.array(out_w, pa.binary())], ["lang", "window"])
 
     return windows
@@ -155,8 +162,9 @@ def train(docs: DataFrame, learn: Column, cfg: Config = Config()) -> Model | Non
     """Fit on windows of at most ``cfg.bound`` texts with a language that ``learn`` admits; None if there are none."""
     ship(docs.sparkSession)
     known = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & learn
-    drawn = docs.select("doc_id", "lang").where(known).orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.bound).select("doc_id").distinct()
+    drawn = docs.select("doc_id", "lang").where(known).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.bound)
     sample = docs.select("doc_id", "lang", "text").where(known & F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id")
+    sample = one_of_each(sample)
     return fit_in_task(sample.select("lang", "text").mapInArrow(_sampled(cfg), "lang string, window binary"), lambda rows: fit_rows(rows, cfg))
 
 
@@ -183,11 +191,15 @@ def identify_run(model: Model, run: K.Run) -> tuple[np.ndarray, np.ndarray]:
     """The best language's index and probability of each row, -1 and 0 for rows without a letter."""
     n = run.hi - run.lo
     votes = np.zeros((n, len(model.langs)))
-    x, row, held = cut_windows(run.data, run.offsets, model.window)
-    step = max(1, RUN_BYTES // model.window)
-    for lo in range(0, len(row), step):
-        lp = model.log_probs(x[lo : lo + step]) * held[lo : lo + step, None]
-        np.add.at(votes, row[lo : lo + step], lp)
+    step = RUN_BYTES // model.window * model.window
+    if n == 1 and len(run.data) > step:  # windows begin at multiples of their length
+        slices = [(run.data[lo : lo + step], np.array([0, min(step, len(run.data) - lo)])) for lo in range(0, len(run.data), step)]
+    else:
+        slices = [(run.data, run.offsets)]
+    for data, offsets in slices:
+        x, row, held = cut_windows(data, offsets, model.window)
+        if len(row):
+            np.add.at(votes, row, model.log_probs(x) * held[:, None])
     mean = votes / np.maximum(np.diff(run.offsets), 1)[:, None]
     prob = np.exp(mean - mean.max(1, keepdims=True))
     prob /= prob.sum(1, keepdims=True)

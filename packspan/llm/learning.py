@@ -24,18 +24,43 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
     Labels are drawn by a hash of the id; a document with conflicting labels counts with the larger. Only the drawn
     labels (``bound`` rows of 12 bytes) are broadcast, so the size of both tables doesn't matter. Null ids, labels and
-    texts teach nothing.
+    texts teach nothing. Of rows that share an id the text with the smallest hash counts.
     """
     drawn = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & learn)
-        .orderBy(F.xxhash64("doc_id"), "doc_id", F.desc("y"))
-        .limit(bound)
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(bound)
     )
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & learn)
-    return texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y")
+    return one_of_each(texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y"))
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """Of the rows of each ``doc_id`` (few ids, any number of rows) the one whose ``text`` has the smallest hash.
+
+    Rows are reduced within their partition first, so an id with a third of all rows moves one row from each.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        names: list[str] = []
+        for batch in batches:
+            names = batch.schema.names
+            ids, hashes, texts = (batch.column(c) for c in ("doc_id", "_hash", "text"))
+            for i, (key, h) in enumerate(zip(ids.to_pylist(), hashes.to_pylist(), strict=True)):
+                held = best.get(key)
+                if held is None or h < held[0] or h == held[0] and texts[i].as_py() < held[1]:
+                    best[key] = (h, texts[i].as_py(), batch.slice(i, 1))
+        kept = [held[2] for held in best.values()]
+        for lo in range(0, len(kept), 64):
+            yield from pa.Table.from_batches(kept[lo : lo + 64]).select(names).combine_chunks().to_batches()
+
+    hashed = rows.withColumn("_hash", F.xxhash64("text"))
+    schema = hashed.schema
+    return hashed.mapInArrow(apply, schema).repartition("doc_id").mapInArrow(apply, schema).select(*rows.columns)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ indicators. An indicator counts with the log of the ratio of its smoothed shares
 are brought to length 1, and a linear hinge-loss model is fitted to them by dual coordinate descent. Margins of a fifth
 of the sample, which the fit doesn't see, calibrate the score.
 
-Memory: a task holds one run of texts and the 2^18 weights; one task holds ``Config.bound`` rows of at most 2^18
+Memory: a task holds one run of texts, or a longer text in slices, and the 2^18 weights; one task holds ``Config.bound`` rows of at most 2^18
 ids.
 """
 
@@ -65,18 +65,27 @@ def _shapes(run: K.Run, w: K.Words) -> np.ndarray:
     return (inside.astype(np.int64) + 16 * (kinds[starts] == 1) + 32 * closing + 256 * same + 512 * (ends - starts > 24) + 1).astype(np.uint64)
 
 
+def _byte_runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    d, n = data.astype(np.uint64), len(data)
+    yield K.mix(d + _U(1 << 40)) & _MASK, offsets, 1
+    key = d
+    for k in (2, 3):
+        key = key[: n - k + 1] * _U(257) + d[k - 1 :] if n >= k else np.zeros(0, np.uint64)
+        yield K.mix(key + _U(k << 40)) & _MASK, offsets, k
+
+
 def indicators(run: K.Run) -> Iterator[np.ndarray]:
     """The distinct indicator ids of each row, ascending. Rows without a byte have none."""
     w = K.words(run)
-    d = run.data.astype(np.uint64)
-    n, m = len(d), len(w.starts)
+    n, m = len(run.data), len(w.starts)
+    seen = np.zeros(1 << BITS, bool)
     streams: list[tuple[np.ndarray, np.ndarray, int]] = []
-    if n:
-        key = d.copy()
-        streams.append((K.mix(key + _U(1 << 40)) & _MASK, run.offsets, 1))
-        for k in (2, 3):
-            key = key[: n - k + 1] * _U(257) + d[k - 1 :] if n >= k else np.zeros(0, np.uint64)
-            streams.append((K.mix(key + _U(k << 40)) & _MASK, run.offsets, k))
+    if run.hi - run.lo == 1 and n > K.RUN_BYTES:  # a long text's byte runs, in slices that overlap by two bytes
+        for lo in range(0, n, K.RUN_BYTES):
+            for ids, _, _ in _byte_runs(run.data[lo : lo + K.RUN_BYTES + 2], run.offsets):
+                seen[ids.astype(np.int64)] = True
+    elif n:
+        streams += _byte_runs(run.data, run.offsets)
     if m:
         h = w.hashes
         streams.append((K.mix(h + _U(11)) & _MASK, w.first, 1))
@@ -88,7 +97,6 @@ def indicators(run: K.Run) -> Iterator[np.ndarray]:
             key = key[: m - k + 1] * _U(1021) + s[k - 1 :] if m >= k else np.zeros(0, np.uint64)
             streams.append((K.mix(key + _U((20 + k) << 40)) & _MASK, w.first, k))
     streams = [(x.astype(np.int64), first, k) for x, first, k in streams]
-    seen = np.zeros(1 << BITS, bool)
     for r in range(run.hi - run.lo):
         for ids, first, k in streams:
             a, b = first[r], first[r + 1] - k + 1
@@ -105,6 +113,26 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(ids, pa.binary())], ["y", "ids"])
 
 
+def descend(ids: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray, size: int, cost: float, epochs: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and dual variables of the hinge-loss model: one dual variable at a time is set to its optimum.
+
+    Minimises (w.w + b.b) / 2 + cost * sum(max(0, 1 - sign * (w.x + b))); the bias is an input that is always 1.
+    """
+    rng, w, bias, alpha = np.random.default_rng(11), np.zeros(size), 0.0, np.zeros(len(ids))
+    norm = np.array([float(np.square(v, dtype=np.float64).sum()) + 1.0 for v in values])
+    for _ in range(epochs):
+        for i in rng.permutation(len(ids)):
+            at, v = ids[i], values[i]
+            gradient = sign[i] * (w[at] @ v + bias) - 1
+            new = min(max(alpha[i] - gradient / norm[i], 0.0), cost)
+            if new != alpha[i]:
+                step = (new - alpha[i]) * sign[i]
+                w[at] += step * v
+                bias += step
+                alpha[i] = new
+    return w, bias, alpha
+
+
 def fit(sample: list[tuple[int, bytes]], cfg: Config = Config()) -> Model:
     """Without both classes every score is the smoothed share of label 1."""
     sample = sorted(sample)
@@ -125,22 +153,11 @@ def fit(sample: list[tuple[int, bytes]], cfg: Config = Config()) -> Model:
         count[y[i], rows[i]] += 1
     ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
     ratio[(count.sum(0) - 2 * cfg.smoothing) < 2] = 0  # seen once: says nothing
-    rng, w, bias = np.random.default_rng(11), np.zeros(size), 0.0
-    alpha, sign = np.zeros(len(rows)), np.where(y == 1, 1.0, -1.0)
-    vectors = {}
+    vectors = []
     for i in own:
         v = ratio[rows[i]]
-        vectors[i] = (v / (np.sqrt((v * v).sum()) or 1.0)).astype(np.float32)
-    for _ in range(cfg.epochs):
-        for i in rng.permutation(own):
-            ids, v = rows[i], vectors[i]
-            gradient = sign[i] * (w[ids] @ v + bias) - 1
-            new = min(max(alpha[i] - gradient / 2.0, 0.0), cfg.cost)  # the vector has length 1, the bias input is 1
-            if new != alpha[i]:
-                step = (new - alpha[i]) * sign[i]
-                w[ids] += step * v
-                bias += step
-                alpha[i] = new
+        vectors.append((v / (np.sqrt((v * v).sum()) or 1.0)).astype(np.float32))
+    w, bias, _ = descend([rows[i] for i in own], vectors, np.where(y[own] == 1, 1.0, -1.0), size, cfg.cost, cfg.epochs)
     model.ratio, model.weight, model.bias = ratio.astype(np.float32), (w * ratio).astype(np.float32), float(bias)
     judged = apart if len(set(y[apart])) == 2 else order
     model.slope, model.offset = platt(np.array([model.margin(rows[i]) for i in judged]), y[judged])

@@ -44,40 +44,6 @@ WINDOW = 1 << 16
 PAIR_BITS = 19  #: slots for arcs of the constraint
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _NONE, _FALLBACK = -1, -2
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys.astype(np.uint64) * _MULT) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-class Table:
-    """Keys (distinct, not negative) to values (not negative) by open addressing, asked for many at once."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(3 * len(keys)).bit_length())
-        mask = (1 << self.bits) - 1
-        self.keys, self.values = np.full(mask + 1, -1, np.int64), np.full(mask + 1, _NONE, np.int32)
-        slot, todo = _slots(keys, self.bits), np.arange(len(keys))
-        while len(todo):
-            free = todo[self.keys[slot[todo]] < 0]
-            put = free[np.unique(slot[free], return_index=True)[1]]
-            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
-            todo = np.setdiff1d(todo, put, assume_unique=True)
-            slot[todo] = (slot[todo] + 1) & mask
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        mask, slot = (1 << self.bits) - 1, _slots(keys, self.bits)
-        there = self.keys[slot]
-        out = np.where(there == keys, self.values[slot], _NONE)
-        more = np.flatnonzero((there != keys) & (there >= 0))
-        while len(more):
-            slot[more] = (slot[more] + 1) & mask
-            there = self.keys[slot[more]]
-            same = there == keys[more]
-            out[more[same]] = self.values[slot[more[same]]]
-            more = more[~same & (there >= 0)]
-        return out
 
 
 class Automaton:
@@ -104,7 +70,7 @@ class Automaton:
         for s, which in final:
             self.accept[s] = which
         joined = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        self.arcs = Table(joined, np.arange(1, states, dtype=np.int32))
+        self.arcs = K.Table(joined, np.arange(1, states, dtype=np.int32))
         self.root = self.arcs.get(np.arange(256))  #: states after one byte
 
     def matches(self, data: np.ndarray, at: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,7 +212,7 @@ class Merges:
                 x, y = symbol.get(p[:cut]), symbol.get(p[cut:])
                 if x is not None and y is not None:
                     pairs[x * self.base + y] = i
-        self.pairs = Table(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
+        self.pairs = K.Table(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
         self.rank = np.append(np.unique(-score, return_inverse=True)[1] if len(score) else [], 1 << 30).astype(np.int32)  # of no piece: the last
         self.width = max(map(len, pieces), default=0)
         self.letters = np.full((self.n, self.width), -1, np.int32)
@@ -310,7 +276,7 @@ class Merges:
         out = self.alone[piece]
         k = np.flatnonzero(last >= 0)
         key = last[k].astype(np.int64) * self.n + piece[k]
-        slot = _slots(key, PAIR_BITS)
+        slot = K.slots(key, PAIR_BITS)
         found, new = self.verdict[slot], self.seen[slot] != key
         if new.any():
             asked = np.unique(key[new])
@@ -320,7 +286,7 @@ class Merges:
             column = self.size[a][:, None] + np.arange(self.width)
             np.put_along_axis(two, column, self.letters[b], 1)
             ok = self._merge(two, size, np.stack([a, b], 1))
-            at = _slots(asked, PAIR_BITS)
+            at = K.slots(asked, PAIR_BITS)
             self.seen[at], self.verdict[at] = asked, ok
             found[new] = ok[np.searchsorted(asked, key[new])]
         out[k] = found

@@ -1,13 +1,18 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Tokens are runs of letters, digits and non-ASCII bytes. Labels mark whole documents, so training tokens are labelled
-from them first: a token of a toxic document is TOXIC if its word is in so many toxic documents, and in so few others, that
-few of the words taken are so by accident (exact tests with a bounded false share), copies of a document counted once. A
-two-state CRF over the word and its two neighbours is fitted to these tokens by gradient steps on the exact likelihood. Forward-backward marginals give each token's probability; a document's score is the calibrated chance that
-one of its tokens at least is toxic, and runs of tokens at 0.5 or more are its spans (byte offsets into the UTF-8 text).
-
-Memory: a task holds one run of texts (``wordkernel.RUN_BYTES``), one task the sample (``Config.bound`` rows), and the
-driver the model (a few MB). None grows with the corpus.
+Tokens are runs of letters, digits and non-ASCII bytes. Labels mark whole documents, so training tokens are labelled from
+them in two passes. First a token of a toxic document is TOXIC if its word is in so many toxic documents, and in so few
+others, that few of the words taken are so by accident (exact tests with a bounded false share), copies of a document
+counted once; the other tokens of toxic documents are open, and those of clean documents CLEAN. A two-state CRF over the word
+and its two neighbours is fitted to the labelled tokens by gradient steps on the exact likelihood. Then the fitted marginals
+label the open tokens, so that a word too rare for a test is taken by its context, and the CRF is fitted again.
+
+Every token of the sample teaches: a step sees all tokens near toxic ones and one of ``Config.portions`` portions of the
+rest, in turn. Forward-backward marginals give each token's probability; a document's score is the calibrated chance that one
+of its tokens at least is toxic, and runs of tokens at 0.5 or more are its spans (byte offsets into the UTF-8 text).
+
+Memory: a task holds one run of texts (``wordkernel.RUN_BYTES``) or one longer text, one task the sample (``Config.bound``
+rows), and the driver the model (a few MB). None grows with the corpus.
 """
 
 from __future__ import annotations
@@ -33,21 +38,22 @@ SPANS = "array<struct<start:int,end:int,p:float>>"
 @dataclass(frozen=True)
 class Config:
     bound: int = 8_000  #: labelled documents that the model may learn from
-    table_bits: int = 18  #: slots for words; of training words that meet in one, the weightier stays
     min_documents: int = 3  #: documents that a word must occur in to be tested
     min_share: float = 0.5  #: share of toxic documents among those with a toxic word, at least
     error: float = 0.01  #: share of the words taken as toxic that are expected to be so by accident
     few_error: float = 0.1  #: the same where few labels let no bar reach ``error``: the bar with the least share holds up to this
-    context: int = 12  #: tokens kept on each side of a toxic training token
-    clean_tokens: int = 100_000  #: training tokens drawn from clean documents
+    context: int = 12  #: tokens on each side of a toxic training token that every step sees
+    portions: int = 16  #: of the tokens further away; each step sees one
+    passes: int = 2  #: fits; the first one leaves tokens of toxic documents open that no test has told
     steps: int = 120
+    least: float = 0.01  #: weights of words that don't reach it count 0
     threshold: float = 0.3
 
 
 @dataclass
 class Model:
-    keys: np.ndarray  #: (2^bits,) hashes of the words that have the slots; other words weigh nothing
-    weights: np.ndarray  #: (3, 2^bits) log-potentials of TOXIC for the word, the one before and the one after
+    words: K.Table  #: hashes of the words with a weight, to columns of ``weights``
+    weights: np.ndarray  #: (3, words + 1) log-potentials of TOXIC for the word, the one before and the one after; the last are 0
     bias: float
     trans: np.ndarray  #: (2, 2) log-potentials
     start: np.ndarray  #: (2,) log-potentials of a document's first token
@@ -55,27 +61,34 @@ class Model:
     offset: float
 
     def emissions(self, hashes: np.ndarray, head: np.ndarray) -> np.ndarray:
-        mask = np.uint64(self.weights.shape[1] - 1)
-        idx = (hashes & mask).astype(np.int64)
-        known = self.keys[idx] == hashes
-        e = self.weights[0][idx] * known + np.float32(self.bias)
-        if len(idx) > 1:
-            prev, nxt = self.weights[1][idx[:-1]] * known[:-1], self.weights[2][idx[1:]] * known[1:]
-            inside = ~head[1:]
-            e[1:] += prev * inside
-            e[:-1] += nxt * inside
-        return e
+        return potentials(self.weights, self.bias, self.words.get(_word_key(hashes)), head)
+
+
+def _word_key(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(1)).astype(np.int64)
+
+
+def potentials(weights: np.ndarray, bias: float, idx: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Log-potentials of TOXIC for tokens of the words ``idx`` (-1: the last column)."""
+    e = weights[0][idx] + np.float32(bias)
+    if len(idx) > 1:
+        inside = ~head[1:]
+        e[1:] += weights[1][idx[:-1]] * inside
+        e[:-1] += weights[2][idx[1:]] * inside
+    return e
 
 
 def forward_backward(e: np.ndarray, head: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False):
-    """Exact TOXIC marginals of a flat run of chains; head marks each chain's first token.
+    """Exact TOXIC marginals of a flat run of chains, and of neighbouring tokens' pairs (from, to, first token) if asked for.
+
+    ``head`` marks each chain's first token; a pair across chains has 0.
 
     A chain's first token has a potential that ignores what precedes it, so all chains of a run are one chain. Blocks of
     about sqrt(T) tokens are multiplied in parallel, the block products are chained, and the blocks are filled in.
     """
     total = len(e)
     if total == 0:
-        return np.zeros(0), np.zeros((2, 2))
+        return np.zeros(0), np.zeros((2, 2, 0))
     size = max(8, int(np.sqrt(total)))
     blocks = -(-total // size)
     x = np.exp(np.clip(e.astype(np.float64), -30, 30))
@@ -127,7 +140,7 @@ def forward_backward(e: np.ndarray, head: np.ndarray, trans: np.ndarray, start:
     al, be, mm = al[:, :total], be[:, :total], mm[:, :, :total]
     joint = al[:, None, :-1] * mm[:, :, 1:] * be[None, :, 1:]
     joint = joint / joint.sum((0, 1)) * ~head[1:]
-    return marginal, joint.sum(2)
+    return marginal, joint
 
 
 def _tails(n: int, docs: int, toxic: int, lf: np.ndarray) -> np.ndarray:
@@ -196,12 +209,15 @@ def token_labels(docs: list[np.ndarray], y: np.ndarray, cfg: Config) -> list[np.
     return [np.isin(d, chosen) & bool(t) for d, t in zip(docs, y, strict=True)]
 
 
+def _none() -> K.Table:
+    return K.Table(np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
 def fit(sample: list[tuple[int, bytes, bytes]], cfg: Config) -> Model:
     """Fit tags, transitions and calibration; without both classes every score is the share of toxic labels."""
     sample = sorted(sample, key=lambda r: (r[2], r[1], r[0]))
     y = np.array([r[0] for r in sample], float)
-    size = 1 << cfg.table_bits
-    model = Model(np.zeros(size, np.uint64), np.zeros((3, size), np.float32), -6.0, np.zeros((2, 2)), np.zeros(2), 0.0, -6.0)
+    model = Model(_none(), np.zeros((3, 1), np.float32), -6.0, np.zeros((2, 2)), np.zeros(2), 0.0, -6.0)
     if len(y) == 0:
         return model
     base = (y.sum() + 1) / (len(y) + 20)
@@ -211,60 +227,73 @@ def fit(sample: list[tuple[int, bytes, bytes]], cfg: Config) -> Model:
     kept = keep_one_of_copies(np.stack([np.frombuffer(r[2], np.uint64) for r in sample]))
     docs, y = [np.frombuffer(sample[i][1], np.uint64) for i in kept], y[kept]
     tags = token_labels(docs, y, cfg)
-    parts, room = [], cfg.clean_tokens
-    for d, t in zip(docs, tags, strict=True):
-        hit = np.flatnonzero(t)
-        if len(hit):
-            cover = np.zeros(len(d) + 1, int)
-            np.add.at(cover, np.maximum(hit - cfg.context, 0), 1)
-            np.add.at(cover, np.minimum(hit + cfg.context + 1, len(d)), -1)
-            inside = np.cumsum(cover)[:-1] > 0
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(int), [0]])))
-            parts += [(d[a:b], t[a:b]) for a, b in edge.reshape(-1, 2)]
-        elif room > 0 and len(d):
-            parts.append((d[: 64], t[: 64]))
-            room -= min(len(d), 64)
-    if not any(t.any() for _, t in parts):
+    told = [t | (label == 0) for t, label in zip(tags, y, strict=True)]
+    if not any(t.any() for t in tags):
         return model
-    h = np.concatenate([p[0] for p in parts])
-    tag = np.concatenate([p[1] for p in parts]).astype(float)
-    head = np.zeros(len(h), bool)
-    head[np.cumsum([0, *(len(p[0]) for p in parts[:-1])])] = True
-    _train(model, h, tag, head, cfg)
+    for round_ in range(cfg.passes):
+        _train(model, docs, tags, told, cfg)
+        if round_ + 1 < cfg.passes:
+            # the open tokens of toxic documents are labelled by what the words around them say
+            for i in np.flatnonzero(y == 1):
+                head = np.arange(len(docs[i])) == 0
+                p, _ = forward_backward(model.emissions(docs[i], head), head, model.trans, model.start)
+                tags[i] = tags[i] | ((p >= 0.5) & ~told[i])
+                told[i] = np.ones(len(docs[i]), bool)
     z = _document_logits(model, docs)
     model.slope, model.offset = platt(z, y)
     return model
 
 
-def _train(model: Model, h: np.ndarray, tag: np.ndarray, head: np.ndarray, cfg: Config) -> None:
-    full, keys = model.weights, model.keys
-    used, idx = np.unique(h, return_inverse=True)  # only words that occur are fitted
-    size = 1 << int(len(used) - 1).bit_length()
-    model.keys, model.weights, h = np.arange(size, dtype=np.uint64), np.zeros((3, size), np.float32), idx.astype(np.uint64)
-    inside = ~head[1:]
-    state = tag.astype(int)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (state[:-1][inside], state[1:][inside]), 1)
-    starts = np.bincount(state[head], minlength=2)
-    theta = [model.weights.astype(np.float64), np.array(-4.0), np.zeros((2, 2)), np.zeros(2)]
-    first, second = [np.zeros_like(v) for v in theta], [np.zeros_like(v) for v in theta]
+def _near(tag: np.ndarray, context: int) -> np.ndarray:
+    hit, cover = np.flatnonzero(tag), np.zeros(len(tag) + 1, int)
+    np.add.at(cover, np.maximum(hit - context, 0), 1)
+    np.add.at(cover, np.minimum(hit + context + 1, len(tag)), -1)
+    return np.cumsum(cover)[:-1] > 0
+
+
+def _train(model: Model, docs: list[np.ndarray], tags: list[np.ndarray], told: list[np.ndarray], cfg: Config) -> None:
+    """Fit to the tokens that ``told`` marks. Chains are the stretches near toxic tokens, and those between them."""
+    used, flat = np.unique(np.concatenate(docs), return_inverse=True)  # only words that occur are fitted
+    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    tag, known = np.concatenate(tags).astype(float), np.concatenate(told)
+    near = np.concatenate([_near(t, cfg.context) for t in tags])
+    head = np.zeros(len(flat), bool)
+    head[first[:-1][first[:-1] < len(flat)]] = True
+    head[1:] |= near[1:] != near[:-1]
+    chain = np.cumsum(head) - 1
+    portion = np.where(near, -1, chain % cfg.portions)
+    always = np.flatnonzero(portion < 0)
+    parts = [np.sort(np.concatenate([always, np.flatnonzero(portion == k)])) for k in range(cfg.portions)]
+    size = len(used) + 1
+    theta = [np.zeros((3, size)), np.array(-4.0), np.zeros((2, 2)), np.zeros(2)]
+    low, high = [np.zeros_like(v) for v in theta], [np.zeros_like(v) for v in theta]
     for step in range(1, cfg.steps + 1):
-        model.weights, model.bias, model.trans, model.start = theta[0].astype(np.float32), float(theta[1]), theta[2], theta[3]
-        p, joint = forward_backward(model.emissions(h, head), head, model.trans, model.start, pairs=True)
-        d = tag - p
-        grad = [np.zeros_like(theta[0]), d.sum(), seen - joint, starts - np.array([(1 - p)[head].sum(), p[head].sum()])]
+        at = parts[step % cfg.portions]
+        idx, state, sure, begin = flat[at], tag[at], known[at], head[at]
+        inside = ~begin[1:]
+        trans, start = theta[2], theta[3]
+        p, joint = forward_backward(potentials(theta[0], float(theta[1]), idx, begin), begin, trans, start, pairs=True)
+        target = np.where(sure, state, p)  # open tokens pull nowhere
+        d = target - p
+        grad = [np.zeros((3, size)), d.sum(), np.zeros((2, 2)), np.zeros(2)]
+        both = inside & sure[1:] & sure[:-1]
+        pair = joint * both  # of the pairs whose labels are known
+        np.add.at(grad[2], (state[:-1][both].astype(int), state[1:][both].astype(int)), 1)
+        grad[2] -= pair.sum(2)
+        first_sure = begin & sure
+        grad[3] += np.bincount(state[first_sure].astype(int), minlength=2) - np.array([(1 - p)[first_sure].sum(), p[first_sure].sum()])
         grad[0][0] = np.bincount(idx, weights=d, minlength=size)
         grad[0][1] = np.bincount(idx[:-1], weights=d[1:] * inside, minlength=size)
         grad[0][2] = np.bincount(idx[1:], weights=d[:-1] * inside, minlength=size)
         for k in range(4):
             g = grad[k] - (0.05 if k == 0 else 1e-3) * theta[k]
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            theta[k] = theta[k] + 0.3 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-3)
-    order = np.argsort(np.abs(theta[0][:, : len(used)]).max(0), kind="stable")
-    slots = (used[order] & np.uint64(len(keys) - 1)).astype(np.int64)
-    keys[slots], full[:, slots] = used[order], theta[0][:, order]
-    model.keys, model.weights, model.bias, model.trans, model.start = keys, full, float(theta[1]), theta[2], theta[3]
+            low[k] = 0.9 * low[k] + 0.1 * g
+            high[k] = 0.99 * high[k] + 0.01 * g * g
+            theta[k] = theta[k] + 0.3 * (low[k] / (1 - 0.9**step)) / (np.sqrt(high[k] / (1 - 0.99**step)) + 1e-3)
+    heavy = np.flatnonzero(np.abs(theta[0][:, :-1]).max(0) >= cfg.least)
+    model.words = K.Table(_word_key(used[heavy]), np.arange(len(heavy), dtype=np.int32))
+    model.weights = np.concatenate([theta[0][:, heavy], np.zeros((3, 1))], 1).astype(np.float32)
+    model.bias, model.trans, model.start = float(theta[1]), theta[2], theta[3]
 
 
 def _logit_any(p: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -97,13 +97,34 @@ def runs(column: pa.Array | pa.ChunkedArray, run_bytes: int = RUN_BYTES) -> Iter
 
 
 def words(run: Run, lower: bool = True, space_table: np.ndarray = SPACE) -> Words:
-    """The words of a run; ``space_table`` says which bytes part words."""
-    data, offsets = run.data, run.offsets
-    n = len(data)
+    """The words of a run; ``space_table`` says which bytes part words.
+
+    A run of more than ``RUN_BYTES`` (one long text) is gone through in slices that end between words.
+    """
+    n = len(run.data)
+    low = LOWER[run.data] if lower else run.data
+    if n <= 2 * RUN_BYTES:
+        starts, ends, hashes = _words(low, run.offsets, space_table)
+    else:
+        parts, lo = [], 0
+        while lo < n:
+            hi = min(lo + RUN_BYTES, n)
+            while hi < n and not space_table[low[hi : hi + 4096]].any():
+                hi = min(hi + 4096, n)
+            hi = hi if hi == n else hi + int(space_table[low[hi : hi + 4096]].argmax())
+            inner = run.offsets[(run.offsets >= lo) & (run.offsets <= hi)] - lo
+            s, e, h = _words(low[lo:hi], np.unique(np.concatenate([[0], inner, [hi - lo]])), space_table)
+            parts.append((s + lo, e + lo, h))
+            lo = hi
+        starts, ends, hashes = (np.concatenate([x[i] for x in parts]) for i in range(3))
+    return Words(low, starts, ends, hashes, np.searchsorted(starts, run.offsets))
+
+
+def _words(low: np.ndarray, offsets: np.ndarray, space_table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(low)
     if n == 0:
         z = np.zeros(0, np.int64)
-        return Words(data, z, z, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    low = LOWER[data] if lower else data
+        return z, z, np.zeros(0, np.uint64)
     space = space_table[low]
     inner = offsets[:-1]
     inner = inner[inner < n]
@@ -118,7 +139,7 @@ def words(run: Run, lower: bool = True, space_table: np.ndarray = SPACE) -> Word
     after[last] = True
     starts = np.flatnonzero(before & ~space)
     ends = np.flatnonzero(after & ~space) + 1
-    return Words(low, starts, ends, segment_hashes(low, starts, ends), np.searchsorted(starts, offsets))
+    return starts, ends, segment_hashes(low, starts, ends)
 
 
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -157,3 +178,39 @@ def distinct_by_row(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     h, row = h[keep], row[keep]
     return h, np.searchsorted(row, np.arange(len(first)))
+
+
+_SPREAD = _U(0x9E3779B97F4A7C15)
+
+
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Table:
+    """Keys (distinct, not negative) to values (not negative) by open addressing, asked for many at once; -1 is none."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(3 * len(keys)).bit_length())
+        mask = (1 << self.bits) - 1
+        self.keys, self.values = np.full(mask + 1, -1, np.int64), np.full(mask + 1, -1, np.int32)
+        slot, todo = slots(keys, self.bits), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] < 0]
+            put = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            todo = np.setdiff1d(todo, put, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & mask
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        mask, slot = (1 << self.bits) - 1, slots(keys, self.bits)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], -1)
+        more = np.flatnonzero((there != keys) & (there >= 0))
+        while len(more):
+            slot[more] = (slot[more] + 1) & mask
+            there = self.keys[slot[more]]
+            same = there == keys[more]
+            out[more[same]] = self.values[slot[more[same]]]
+            more = more[~same & (there >= 0)]
+        return out

@@ -9,8 +9,9 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from packspan.llm import decontam, language, lookup, neardup, quality, sentencepiece_fst, sharding, sstable, toxicity, vectors, warc
+from packspan.llm import decontam, language, learning, lookup, neardup, quality, registry, sentencepiece_fst, sharding, sstable, toxicity, vectors, warc
 from packspan.llm.components import components
 from packspan.llm.learning import remainder
 from packspan.runtime import table
@@ -197,6 +198,60 @@ def test_classifiers_on_odd_and_empty_tables(spark, sf):
     assert toxicity.score(odd(spark), trained).where("tox_flag").count() == 0  # one class only: the share of label 1
 
 
+@pytest.mark.parametrize(("query", "modulus", "left", "labelled"), [("op2_quality", 5, 0, "quality"), ("op9_toxicity", 4, 2, "toxic"), ("op3_language", 5, 0, None)])
+def test_queries_of_classifiers_keep_their_contract(spark, sf, query, modulus, left, labelled):
+    got = registry.queries()[query](spark, sf)
+    types = dict(got.dtypes)
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in table(spark, sf, "documents").select("doc_id").collect())
+    assert types["doc_id"] == "bigint" and types["held_out"] == "boolean" and types["score"] == "double"
+    for r in rows:
+        assert r.held_out == (crc32(str(r.doc_id).encode()) % modulus == left) and 0 <= r.score <= 1
+        assert r.lang_pred if labelled is None else r.predicted == int(r.score >= 0.3)
+    if labelled:
+        assert types["predicted"] == "int"
+
+
+def test_labels_of_held_out_rows_teach_nothing(spark, sf, tmp_path):
+    """Other labels on held-out rows change no score."""
+    for name in ("documents", "labels"):
+        t = table(spark, sf, name)
+        if name == "labels":
+            t = t.withColumn("quality", F.when(remainder("doc_id", 5) == 0, 1 - F.col("quality")).otherwise(F.col("quality"))).withColumn("toxic", F.when(remainder("doc_id", 4) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+        else:
+            t = t.withColumn("lang", F.when(remainder("doc_id", 5) == 0, F.lit("xx")).otherwise(F.col("lang")))
+        t.write.parquet(str(tmp_path / f"{name}.parquet"))
+    for query in ("op2_quality", "op3_language", "op9_toxicity"):
+        one, two = (sorted((r.doc_id, r.score) for r in registry.queries()[query](spark, d).collect()) for d in (sf, str(tmp_path)))
+        assert one == two, query
+
+
+def test_one_row_teaches_for_each_id(spark):
+    rows = [(i % 5, f"text {i}", i) for i in range(3_000)] + [(9, "same", 0)] * 50
+    got = learning.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(7)).collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2, 3, 4, 9]
+    again = learning.one_of_each(spark.createDataFrame(rows[::-1], "doc_id long, text string, y int").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    docs = spark.createDataFrame([(7, f"hot {i}", "en", "s") for i in range(2_000)] + [(i, "some text", "en", "s") for i in range(20)], DOCS)
+    labels = spark.createDataFrame([(7, 1)] * 30 + [(i, 0) for i in range(20) if i != 7], "doc_id long, toxic int")
+    assert learning.labelled_sample(docs, labels, "toxic", F.lit(True), 10).count() == 10
+
+
+def test_classifiers_replace_clashing_columns_and_score_equal_rows_alike(spark, sf):
+    base = table(spark, sf, "documents")
+    docs = base.union(base).selectExpr("doc_id", "text", "lang", "'a' as quality_score", "1 as lang_pred", "'b' as tox_score", "2 as tox_spans", "3 as y", "4 as sketch", "5 as _hash")
+    labels = table(spark, sf, "labels")
+    everything = remainder("doc_id", 5) >= 0
+    out = quality.score(docs, quality.train(docs, labels, "quality", everything))
+    out = language.identify(out, language.train(docs, everything))
+    out = toxicity.score(out, toxicity.train(docs, labels, "toxic", everything))
+    assert sorted(out.columns) == sorted([*docs.columns, "lang_score", "tox_flag"])
+    pairs = {}
+    for r in out.collect():
+        pairs.setdefault(r.doc_id, set()).add((r.quality_score, r.lang_pred, r.lang_score, r.tox_score))
+    assert all(len(v) == 1 for v in pairs.values()) and len(pairs) == base.count()
+
+
 # op4
 
 

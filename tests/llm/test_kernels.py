@@ -9,7 +9,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from packspan.llm import neardup, toxicity, warc
+from packspan.llm import language, neardup, quality, toxicity, warc
 from packspan.llm import wordkernel as K
 
 texts = st.lists(st.one_of(st.none(), st.text(alphabet="aB é\n\t\x0b,日", max_size=30)), max_size=8)
@@ -66,7 +66,7 @@ def test_forward_backward_is_exact(steps):
         for i in range(1, len(e)):
             if not head[i]:
                 both[y[i - 1], y[i]] += p
-    assert np.allclose(got, hot / total) and np.allclose(joint, both / total)
+    assert np.allclose(got, hot / total) and np.allclose(joint.sum(2), both / total)
 
 
 def test_forward_backward_over_many_blocks():
@@ -118,3 +118,107 @@ def test_url_keys():
     assert warc.url_key("http://www.Example.com:80/a/?b=2&a=1#x") == "com,example)/a?a=1&b=2"
     assert warc.url_key(None) == ")" and warc.url_key("http://[bad") == ")http://[bad"
     assert warc.url_key("https://example.com") == warc.url_key("http://example.com/")
+
+
+def test_long_texts_in_slices_give_the_same_words_and_indicators(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("ab C1.,! \n")) for _ in range(9_000)) + "x" * 700 + " end"
+    (run,) = K.runs(pa.array([text]))
+    whole, ids = K.words(run), next(quality.indicators(run))
+    model = language.Model(["a", "b"], 64, 3, rng.normal(size=(256, 4)).astype(np.float32), rng.normal(size=(12, 5)).astype(np.float32), np.zeros(5, np.float32), rng.normal(size=(5, 2)).astype(np.float32), np.zeros(2, np.float32))
+    best, prob = language.identify_run(model, run)
+    monkeypatch.setattr(K, "RUN_BYTES", 500)
+    monkeypatch.setattr(language, "RUN_BYTES", 256)
+    parts = K.words(run)
+    for a, b in ((whole.starts, parts.starts), (whole.ends, parts.ends), (whole.hashes, parts.hashes), (whole.first, parts.first)):
+        assert (a == b).all()
+    assert (next(quality.indicators(run)) == ids).all()
+    best2, prob2 = language.identify_run(model, run)
+    assert best2[0] == best[0] and np.allclose(prob, prob2)
+    two = pa.array([text, None, text[:50]])
+    (run,) = K.runs(two, 1 << 20)
+    w = K.words(run)
+    assert w.first.tolist() == [0, len(whole.starts), len(whole.starts), len(w.starts)]
+
+
+def test_convolution_gradients_against_finite_differences():
+    rng = np.random.default_rng(1)
+    span, dims, filters, length, n = 3, 2, 4, 9, 5
+    mask = np.ones((span * dims, filters))
+    mask[2 * dims :, :2] = 0  # two filters of width two
+    arrays = {"embed": rng.normal(size=(256, dims)), "kernel": rng.normal(size=(span * dims, filters)) * mask, "kernel_bias": rng.normal(size=filters), "dense": rng.normal(size=(filters, 3)), "dense_bias": rng.normal(size=3)}
+    x, y = rng.integers(97, 102, (n, length)).astype(np.uint8), rng.integers(0, 3, n)
+
+    def loss(values):
+        m = language.Model(["a", "b", "c"], length, span, **values)
+        out = 0.0
+        for window, want in zip(x, y, strict=True):
+            e = np.concatenate([values["embed"][window], np.zeros((span - 1, dims))])
+            pooled = [max(0.0, max(sum(e[i + j] @ values["kernel"][j * dims : (j + 1) * dims, f] for j in range(span)) for i in range(length)) + values["kernel_bias"][f]) for f in range(filters)]
+            o = np.array(pooled) @ values["dense"] + values["dense_bias"]
+            out -= o[want] - np.log(np.exp(o).sum())
+        return out / n, m
+
+    value, model = loss(arrays)
+    got, grad = language.gradients(model, x, y, mask)
+    assert abs(got - value) < 1e-5
+    for name, a in arrays.items():
+        places = [tuple(rng.integers(0, s) for s in a.shape) for _ in range(6)] if name != "embed" else [(c, k) for c in range(97, 102) for k in range(dims)]
+        for at in places:
+            if name == "kernel" and not mask[at]:
+                assert grad[name][at] == 0
+                continue
+            step = {k: v.copy() for k, v in arrays.items()}
+            step[name][at] += 1e-5
+            up = loss(step)[0]
+            step[name][at] -= 2e-5
+            assert abs((up - loss(step)[0]) / 2e-5 - grad[name][at]) < 1e-3, (name, at)
+
+
+def test_coordinate_descent_reaches_the_optimum_of_the_dual():
+    """Against projected gradient steps on the dual, run until they stand still."""
+    rng = np.random.default_rng(2)
+    n, size, cost = 24, 10, 1.0
+    ids = [np.sort(rng.choice(size, rng.integers(1, 6), replace=False)) for _ in range(n)]
+    values = [rng.normal(size=len(i)) for i in ids]
+    sign = np.where(rng.random(n) < 0.5, 1.0, -1.0)
+    w, bias, alpha = quality.descend(ids, values, sign, size, cost, 400)
+    x = np.zeros((n, size + 1))
+    for r, (i, v) in enumerate(zip(ids, values, strict=True)):
+        x[r, i], x[r, size] = v, 1.0
+    q = (x * sign[:, None]) @ (x * sign[:, None]).T
+    best, rate = np.zeros(n), 1.0 / np.linalg.eigvalsh(q).max()
+    for _ in range(60_000):
+        best = np.clip(best - rate * (q @ best - 1), 0, cost)
+    dual = lambda a: a.sum() - a @ q @ a / 2
+    assert abs(dual(alpha) - dual(best)) < 1e-6 and (alpha >= 0).all() and (alpha <= cost).all()
+    assert np.allclose(np.append(w, bias), (alpha * sign) @ x)
+    primal = (w @ w + bias * bias) / 2 + cost * np.maximum(0, 1 - sign * (x @ np.append(w, bias))).sum()
+    assert abs(primal - dual(alpha)) < 1e-4  # no gap
+
+
+def test_rare_words_are_tagged_by_their_context():
+    """A word in too few documents for any test stands where listed words stand; the same word elsewhere is clean."""
+    rng = np.random.default_rng(6)
+    plain = [f"w{i}" for i in range(60)]
+    bad = [f"bad{i}" for i in range(4)]
+
+    def text(toxic, word=None):
+        t = [plain[i] for i in rng.integers(0, 60, 30)]
+        if toxic:
+            t[14:17] = ["you", word or bad[rng.integers(4)], "creature"]
+        return " ".join(t)
+
+    rows = [(1, text(True)) for _ in range(60)] + [(1, text(True, f"rare{i % 3}")) for i in range(6)] + [(0, text(False)) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows])], ["y", "text"])
+    sample = [tuple(r.values()) for b in toxicity._features(iter([batch])) for r in b.to_pylist()]
+    tags = {}
+    for passes in (1, 2):
+        model = toxicity.fit(sample, toxicity.Config(passes=passes, min_share=0.9))
+        probe = ["w1 w2 you rare0 creature w3", "w1 w2 w4 w5 w6 w3", "w1 you bad1 creature w2"]
+        (run,) = K.runs(pa.array(probe))
+        scores, spans = toxicity.tag_run(model, run)
+        tags[passes] = [[probe[r][x["start"] : x["end"]] for x in spans[r]] for r in range(3)]
+        assert not spans[1] and any("bad1" in x for x in tags[passes][2])
+        assert scores[2] > 0.5 > scores[1]
+    assert any("rare0" in x for x in tags[2][0])
