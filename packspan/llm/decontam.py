@@ -8,8 +8,13 @@ however long that is (smaller items of the partition are covered the better). A
 item that it contains, not just with high probability; candidates are verified by counting the item's whole set in the
 document's whole set.
 
-Documents pass once per block of items, without a shuffle. Blocks hold at most ``ENTRIES`` shingles, which bounds the
-broadcast whatever the size of the benchmark.
+Each partition has an index of its own, searched with the hashes of a run of documents that pass a bitmap of all sketches.
+Documents pass once for each block of items, without a shuffle. A block holds at most about ``ENTRIES`` shingles, and one
+block's index is alive at a time, which bounds memory whatever the size of the benchmark: with several blocks the documents
+are numbered and written once, each pass hands on its hits only, and the hits of all passes are joined to the documents at
+the end. Items with the same id and text are kept once, with their number.
+
+Very long texts: a task holds a run of texts or one longer text, about 12 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packspan.llm import wordkernel as K
-from packspan.runtime import ship, table
+from packspan.runtime import Cut, ship, table
 
 ENTRIES = 4_000_000
 HITS = "array<struct<item_id:bigint,shared:int,size:int>>"
@@ -32,16 +37,24 @@ _FILTER_BITS = 20
 
 
 @dataclass
-class Index:
-    """Items with k-word shingles for one k. sets: flat sorted sets; first: their bounds; key, owner: sketch values and their items."""
+class Partition:
+    """Items of similar size. sets: flat sorted sets; first: their bounds; key, owner: sketch values and their items."""
 
-    k: int
     item_ids: np.ndarray
+    times: np.ndarray
     sets: np.ndarray
     first: np.ndarray
     key: np.ndarray
     owner: np.ndarray
+
+
+@dataclass
+class Index:
+    """Items with k-word shingles for one k, by partitions of their sizes; bitmap: leading bits of all sketch values."""
+
+    k: int
     bitmap: np.ndarray
+    partitions: list[Partition]
 
 
 def size_partition(n: np.ndarray) -> np.ndarray:
@@ -57,21 +70,25 @@ def sketch_depth(upper: np.ndarray, percent: int) -> np.ndarray:
     return upper - -(-percent * upper // 100) + 1
 
 
-def build(items: list[tuple[int, int, bytes]], percent: int) -> list[Index]:
-    """One index for each shingle length; items are (item_id, k, sorted set as bytes)."""
+def build(items: list[tuple[int, int, bytes, int]], percent: int) -> list[Index]:
+    """One index for each shingle length; items are (item_id, k, sorted set as bytes, number)."""
     out = []
     for k in sorted({i[1] for i in items}):
         own = sorted((i for i in items if i[1] == k), key=lambda i: (i[0], i[2]))
-        sets = [np.frombuffer(i[2], np.uint64) for i in own]
-        n = np.array([len(s) for s in sets])
-        depth = np.minimum(sketch_depth(size_partition(n), percent), n)
-        # hashes are mixed, so that the smallest ones are a MinHash sketch
-        key = np.concatenate([s[:m] for s, m in zip(sets, depth, strict=True)])
-        owner = np.repeat(np.arange(len(sets)), depth)
-        order = np.argsort(key, kind="stable")
-        bitmap = np.zeros(1 << _FILTER_BITS, bool)
-        bitmap[(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        out.append(Index(k, np.array([i[0] for i in own]), np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]), key[order], owner[order], bitmap))
+        sizes = np.array([len(i[2]) // 8 for i in own])
+        upper, index = size_partition(sizes), Index(k, np.zeros(1 << _FILTER_BITS, bool), [])
+        for u in np.unique(upper):
+            part = [own[i] for i in np.flatnonzero(upper == u)]
+            sets = [np.frombuffer(i[2], np.uint64) for i in part]
+            n = np.array([len(x) for x in sets])
+            depth = np.minimum(sketch_depth(np.full(len(n), u), percent), n)
+            # hashes are mixed, so that the smallest ones are a MinHash sketch
+            key = np.concatenate([x[:m] for x, m in zip(sets, depth, strict=True)])
+            order = np.argsort(key, kind="stable")
+            index.bitmap[(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+            owner = np.repeat(np.arange(len(sets)), depth)
+            index.partitions.append(Partition(np.array([i[0] for i in part]), np.array([i[3] for i in part]), np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]), key[order], owner[order]))
+        out.append(index)
     return out
 
 
@@ -100,19 +117,25 @@ def _hits(indexes: list[Index], run: K.Run, percent: int) -> list[list[dict]]:
         maybe = np.flatnonzero(x.bitmap[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] & ~short)
         if not len(maybe):
             continue
-        lo, hi = np.searchsorted(x.key, h[maybe], "left"), np.searchsorted(x.key, h[maybe], "right")
-        found = hi > lo
-        maybe, lo, hi = maybe[found], lo[found], hi[found]
-        rows = np.searchsorted(first, maybe, "right") - 1
-        for r in np.unique(rows):
-            mine = rows == r
-            items = np.unique(np.concatenate([x.owner[a:b] for a, b in set(zip(lo[mine].tolist(), hi[mine].tolist(), strict=True))]))
-            text = np.unique(h[first[r] : first[r + 1]])
-            for i in items:
-                s = x.sets[x.first[i] : x.first[i + 1]]
-                shared = int((text[np.minimum(np.searchsorted(text, s), len(text) - 1)] == s).sum())
-                if 100 * shared >= percent * len(s):
-                    out[r].append({"item_id": int(x.item_ids[i]), "shared": shared, "size": len(s)})
+        row = np.searchsorted(first, maybe, "right") - 1
+        text: dict[int, np.ndarray] = {}
+        for part in x.partitions:
+            lo, hi = np.searchsorted(part.key, h[maybe], "left"), np.searchsorted(part.key, h[maybe], "right")
+            found = np.flatnonzero(hi > lo)
+            if not len(found):
+                continue
+            count = hi[found] - lo[found]
+            flat = np.repeat(lo[found] - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(int(count.sum()))
+            pairs = np.unique(np.stack([np.repeat(row[found], count), part.owner[flat]], 1), axis=0)
+            for r, i in pairs.tolist():
+                if r not in text:
+                    text[r] = np.unique(h[first[r] : first[r + 1]])
+                have, want = text[r], part.sets[part.first[i] : part.first[i + 1]]
+                shared = int((have[np.minimum(np.searchsorted(have, want), len(have) - 1)] == want).sum())
+                if 100 * shared >= percent * len(want):
+                    out[r] += [{"item_id": int(part.item_ids[i]), "shared": shared, "size": len(want)}] * int(part.times[i])
+    for hits in out:
+        hits.sort(key=lambda x: (x["item_id"], x["size"], x["shared"]))
     return out
 
 
@@ -120,33 +143,46 @@ def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", k: int = 5,
     """All columns of ``docs`` and ``bench_hits``: the items (item_id, text) with at least ``percent`` of their shingles in the text.
 
     A hit has the item's id, how many of its shingles are in the text and how many it has; hits are in order of the
-    items' ids within a block. Items of 1 to k - 1 words are one shingle, their whole sequence, looked for at that
-    length. Null and blank items and items with a null id match nothing; null and blank texts have no hits. Items with
-    equal texts or ids are each reported. A column ``bench_hits`` of ``docs`` is replaced.
+    items' ids. Items of 1 to k - 1 words are one shingle, their whole sequence, looked for at that length. Null and blank
+    items and items with a null id match nothing; null and blank texts have no hits. Items with equal texts or ids, and
+    repeated items, are each reported. A column ``bench_hits`` of ``docs`` is replaced.
     """
     spark = docs.sparkSession
     ship(spark)
     kept = [c for c in docs.columns if c != "bench_hits"]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("bench_hits", T._parse_datatype_string(HITS))])
+    hits = T.StructField("bench_hits", T._parse_datatype_string(HITS))
     sets = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").mapInArrow(_item_sets(k), "item_id long, k int, set binary").where("k > 0")
-    total = sets.agg(F.sum(F.length("set") / 8)).first()[0] or 0
+    sets = Cut(sets.groupBy("item_id", "k", "set").agg(F.count(F.lit(1)).alias("times")), "item sets")
+    total = sets.df.agg(F.sum(F.length("set") / 8)).first()[0] or 0
     blocks = max(1, int(-(-total // entries)))
-    out = docs.select(*kept).withColumn("bench_hits", F.array().cast(HITS))
+
+    def index(b: int):
+        part = sets.df.where(F.pmod(F.xxhash64("item_id", "set"), F.lit(blocks)) == b)
+        return spark.sparkContext.broadcast(build([(r.item_id, r.k, bytes(r.set), r.times) for r in part.collect()], percent))
+
+    if blocks == 1:
+        return docs.select(*kept).mapInArrow(_marker(index(0), kept, text_col, percent, True), T.StructType([docs.schema[c] for c in kept] + [hits]))
+    numbered = Cut(docs.select(*kept).withColumn("_row", F.monotonically_increasing_id()), "numbered").df
+    found = None
     for b in range(blocks):
-        part = sets if blocks == 1 else sets.where(F.pmod(F.xxhash64("item_id", "set"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(build([(r.item_id, r.k, bytes(r.set)) for r in part.collect()], percent))
-        out = out.mapInArrow(_marker(shared, kept, text_col, percent), schema)
-    return out
+        shared = index(b)
+        one = Cut(numbered.select("_row", text_col).mapInArrow(_marker(shared, ["_row"], text_col, percent, False), T.StructType([T.StructField("_row", T.LongType()), hits])), "hits").df
+        shared.destroy()  # what the next block needs is its own index
+        found = one if found is None else found.union(one)
+    # only documents with a hit have a row here
+    joined = found.select("_row", F.explode("bench_hits").alias("h")).groupBy("_row").agg(F.array_sort(F.collect_list("h")).alias("bench_hits"))
+    return numbered.join(joined, "_row", "left").select(*kept, F.coalesce("bench_hits", F.array().cast(HITS)).alias("bench_hits"))
+
 
+def _marker(shared, kept: list[str], text_col: str, percent: int, every: bool):
+    """Rows with their hits; only rows with one unless ``every``."""
 
-def _marker(shared, kept: list[str], text_col: str, percent: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = shared.value
+        indexes, kind = shared.value, pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int32()), ("size", pa.int32())]))
         for batch in batches:
-            fresh = [x for run in K.runs(batch.column(text_col)) for x in _hits(indexes, run, percent)]
-            before = batch.column("bench_hits")
-            hits = [[*(a or []), *b] for a, b in zip(before.to_pylist(), fresh, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(hits, before.type)], [*kept, "bench_hits"])
+            found = [x for run in K.runs(batch.column(text_col)) for x in _hits(indexes, run, percent)]
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, kind)], [*kept, "bench_hits"])
+            yield out if every else out.filter(pa.array([bool(x) for x in found], pa.bool_()))
 
     return apply
 

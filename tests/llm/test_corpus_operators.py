@@ -312,6 +312,18 @@ def test_decontamination_against_brute_force(spark, sf):
     assert {tuple(r) for r in decontam.contaminations(docs, items, entries=200).collect()} == want  # in several blocks
 
 
+def test_decontamination_in_many_blocks_keeps_rows_and_columns(spark):
+    words_ = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words_), "a"), (1, " ".join(words_), "a"), (None, " ".join(words_[:12]), "b"), (3, None, "c")], "doc_id long, text string, times string")
+    items = spark.createDataFrame([(i, " ".join(words_[i : i + 9])) for i in range(30)] + [(7, " ".join(words_[7:16]))] * 2, "item_id long, text string")
+    one, many = (decontam.mark(docs, items, entries=e) for e in (10**6, 20))
+    assert one.columns == many.columns == ["doc_id", "text", "times", "bench_hits"] and one.schema["bench_hits"].dataType == many.schema["bench_hits"].dataType
+    key = lambda r: (r.doc_id is None, r.doc_id, [tuple(h) for h in r.bench_hits])
+    assert sorted(map(key, one.collect())) == sorted(map(key, many.collect()))
+    rows = {r.doc_id: [h.item_id for h in r.bench_hits] for r in one.collect()}
+    assert rows[1] == sorted([*range(30), 7, 7]) and rows[3] == [] and rows[None][:3] == [0, 1, 2]
+
+
 def test_decontamination_odd_rows(spark):
     filler = " ".join(f"w{i}" for i in range(30_000))
     item = "one Two three four five six seven eight nine ten eleven twelve thirteen fourteen"
