@@ -4,9 +4,9 @@ Rows of a source are ranked in the order of a seeded hash of their ids. A row's
 its source, so all sources spread evenly over 0..1; sorted by it, the rows mix every source in proportion anywhere. The
 sorted sequence is cut at the shards' bounds: by rows, the counts of shards are at most one apart.
 
-Ranks and positions are counted in two levels, so that no source and no sort goes to one task: rows are put into narrow
-ranges of the hash (then of the fractional rank), ranges are counted and summed up, and only rows of one range are
-ordered by a window. The number of ranges grows with the rows and with the shuffle partitions.
+Both orders are range partitioned, down to a number that tells even equal rows apart, sorted within partitions and written;
+a row's position is its place in its partition and the counts of the partitions before. So no source, no repeated or null id
+and no fraction that many sources share goes to one task; windows see a row for each partition and source only.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from packspan.runtime import Cut, table
 
-RANGE_ROWS = 65_536
 BROADCAST_ROWS = 500_000
 _HASH_BITS = 60
 
@@ -32,6 +31,14 @@ def _looked_up(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(F.broadcast(ranges) if small else ranges, keys)
 
 
+def _placed(rows: DataFrame, order: list[str]) -> Cut:
+    """The rows with the number of their range (part) by ``order`` and their place within it (at), both from 0."""
+    keys = [F.asc_nulls_first(c) for c in order]
+    place = F.monotonically_increasing_id()
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return Cut(ranged.select("*", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "placed")
+
+
 def shard(docs: DataFrame, shards: int = 8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """id, size, text_crc32, source, shard and slot of every row of ``docs``.
 
@@ -40,11 +47,6 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 42, id_col: str = "doc_i
     repeated rows are interchangeable. slot counts from 0 within a shard, in the interleaved order. Other columns aren't
     read, and an empty table gives no row.
     """
-    spark = docs.sparkSession
-    n = docs.count()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(-(-n // RANGE_ROWS), 8 * parts)
-    width = (1 << _HASH_BITS) // ranges + 1
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
         F.col(id_col).alias("id"),
@@ -53,20 +55,26 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 42, id_col: str = "doc_i
         F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("stratum"),
         _seeded(id_col, seed).alias("h"),
-    ).withColumn("r", F.expr(f"h div {width}").cast("int"))
+        F.monotonically_increasing_id().alias("nth"),  # written with the row, so that it stays
+    )
+    base = Cut(base, "rows")
+    n = base.df.count()
     # 1. ranks within sources
-    counted = base.groupBy("stratum", "r").agg(F.count(F.lit(1)).alias("c"))
+    tail = ["stratum", "h", "id", "text_crc32", "size", "nth"]
+    placed = _placed(base.df, tail)
     own = Window.partitionBy("stratum")
-    counted = Cut(counted.select("stratum", "r", (F.sum("c").over(own.orderBy("r")) - F.col("c")).alias("before"), F.sum("c").over(own).alias("all")), "strata")
-    order = [F.asc_nulls_first(c) for c in ("h", "id", "text_crc32", "size")]
-    ranked = _looked_up(base, counted.df, ["stratum", "r"]).withColumn("rank", F.row_number().over(Window.partitionBy("stratum", "r").orderBy(*order)) - 1 + F.col("before"))
-    spread = (F.col("rank") + 0.5) / F.col("all")
-    ranked = Cut(ranked.select("id", "size", "text_crc32", "source", "stratum", "h", spread.alias("f"), F.floor(spread * ranges).cast("int").alias("r")), "ranked")
+    runs = placed.df.groupBy("part", "stratum").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("begin"))
+    runs = Cut(runs.select("part", "stratum", (F.sum("c").over(own.orderBy("part")) - F.col("c") - F.col("begin")).alias("before"), F.sum("c").over(own).alias("all")), "strata")
+    ranked = _looked_up(placed.df, runs.df, ["part", "stratum"])
+    ranked = Cut(ranked.select(*base.df.columns, ((F.col("at") + F.col("before") + 0.5) / F.col("all")).alias("f")), "ranked")
+    base.drop()
+    placed.drop()
     # 2. positions in the order of fractional ranks
-    steps = ranked.df.groupBy("r").agg(F.count(F.lit(1)).alias("c"))
-    steps = Cut(steps.select("r", (F.sum("c").over(Window.orderBy("r")) - F.col("c")).alias("before")), "steps")
-    order = [F.asc_nulls_first(c) for c in ("f", "stratum", "h", "id", "text_crc32", "size")]
-    placed = _looked_up(ranked.df, steps.df, ["r"]).withColumn("pos", F.row_number().over(Window.partitionBy("r").orderBy(*order)) - 1 + F.col("before"))
+    placed = _placed(ranked.df, ["f", *tail])
+    ranked.drop()
+    steps = placed.df.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
+    steps = Cut(steps.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before")), "steps")
+    placed = _looked_up(placed.df, steps.df, ["part"]).withColumn("pos", F.col("at") + F.col("before"))
     # 3. cuts: shard s holds positions from ceil(s * n / shards) on
     placed = placed.withColumn("shard", F.expr(f"cast(pos * {shards} div {max(n, 1)} as int)"))
     start = F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")

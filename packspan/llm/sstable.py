@@ -21,6 +21,7 @@ executors leave unused files at worst.
 from __future__ import annotations
 
 import bisect
+import json
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -193,19 +194,34 @@ class Reader:
         return out
 
 
+#: What a tokenizer file must say for its texts to be cut: composed characters, one space for white space, lower case; then
+#: English endings, runs of letters, single digits and runs of marks, as bytes.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct segment once.
 
-    The tokenizer's normaliser and pre-tokenizer never join characters across ASCII white space, nor across an ASCII
-    letter next to an ASCII mark other than the apostrophe; texts are cut there and lower-cased in ASCII, which the
-    normaliser does as well. Runs with ``<|`` (special tokens) or a capital sigma (its lower case depends on what
-    follows) are cut at white space only and left as they are.
+    A tokenizer whose normaliser and pre-tokenizer are those of ``NORMALISER`` and ``SPLIT`` never joins characters across
+    ASCII white space, nor across an ASCII letter next to an ASCII mark other than the apostrophe; texts are cut there and
+    lower-cased in ASCII, which the normaliser does as well. Runs with ``<|`` (special tokens) or a capital sigma (its lower
+    case depends on what follows) are cut at white space only and left as they are. For any other tokenizer nothing is known
+    of where texts may be cut, so each text is encoded as a whole.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        spec = json.loads(self.tokenizer.to_str())
+        self.segmented = spec["normalizer"] == NORMALISER and spec["pre_tokenizer"] == SPLIT and all(t["content"].startswith("<|") and not t["normalized"] for t in spec["added_tokens"])
         self._reset()
 
     def _reset(self) -> None:
@@ -214,6 +230,10 @@ class Encoder:
         self.arena, self.end = np.zeros(1 << 16, np.int32), 0
 
     def encode_run(self, run: K.Run) -> tuple[np.ndarray, np.ndarray]:
+        if not self.segmented:
+            texts = [run.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(run.offsets[:-1], run.offsets[1:], strict=True)]
+            ids = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         if len(self.known) > KEPT_SEGMENTS:
             self._reset()
         raw = run.data.tobytes()
@@ -309,7 +329,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, tokenizer_file: str
     """Encode all whole texts, write shards below ``folder`` and return the manifest: bucket, path, docs, ids.
 
     Files in order of buckets hold ascending ids, null ids first. Null texts count as empty; ``end_id`` follows each
-    document. Repeated ids are all kept, next to each other in their files. Other columns aren't read. An empty table
+    document. Repeated ids are all kept, next to each other in their files and there in order of their texts' hashes. Other columns aren't read. An empty table
     has no file and an empty manifest. The tokenizer's file must be at its path on every executor.
     """
     spark = docs.sparkSession
@@ -317,7 +337,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, tokenizer_file: str
     folder = folder or fresh_path(spark, "shards")
     file = tokenizer_file or default_tokenizer()
     dealt, n = _dealt(docs, id_col, text_col, file_rows)
-    rows = dealt.repartitionById(n, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("id"))
+    rows = dealt.repartitionById(n, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("id"), F.xxhash64("text"))
     store, root = open_store(folder)
     store.create_dir(root, recursive=True)
 

@@ -283,6 +283,20 @@ def test_sharding_laws_on_odd_rows_and_a_hot_source(spark):
     assert sharding.shard(none(spark)).count() == 0
 
 
+def test_sharding_spreads_hot_ids_and_lone_sources(spark):
+    """Rows of one id, of none, and sources of one row each, against the order worked out in Python."""
+    rows = [(7, f"text {i % 40}", "en", "hot") for i in range(300)] + [(None, "none", "en", "hot") for _ in range(50)] + [(i, f"t{i}", "en", f"own{i}") for i in range(100, 300)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as size", "'x' as shard", "2 as slot", "3 as h", "4 as part", "5 as at", "6 as f", "7 as nth", "8 as before", "9 as stratum")
+    got = sharding.shard(docs, shards=5).collect()
+    by = {}
+    for r in rows:
+        text = r[1].encode()
+        by.setdefault("=" + r[3], []).append((int(hashlib.md5(f"42|{'' if r[0] is None else r[0]}".encode()).hexdigest()[:15], 16), r[0] if r[0] is not None else -1, crc32(text), len(text) + 1))
+    seq = sorted(((i + 0.5) / len(v), k, *x) for k, v in by.items() for i, x in enumerate(sorted(v)))
+    want = Counter((x[3], x[4], x[5], p * 5 // len(seq), p - -(-(p * 5 // len(seq)) * len(seq) // 5)) for p, x in enumerate(seq))
+    assert Counter((-1 if r.doc_id is None else r.doc_id, r.text_crc32, r["size"], r.shard, r.slot) for r in got) == want
+
+
 def test_sharding_is_native(spark, sf):
     plan = sharding.op4_sharding(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -414,6 +428,31 @@ def test_shards_equal_the_library_and_look_up(spark, sf):
     assert sstable.read_shards(sstable.write_shards(none(spark))).count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts(spark):
+    """A cased byte-level tokenizer, for which no cut is known to be safe."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(file)
+    assert sstable.Encoder(sstable.default_tokenizer()).segmented and not sstable.Encoder(file).segmented
+    texts = ["Hello  World, It's ABC\n\n x", "", None, "ΑΣ <|endoftext|> é", "  lead"]
+    got = sstable.read_shards(sstable.write_shards(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, bucket string"), tokenizer_file=file)).collect()
+    assert {r.id: r.ids for r in got} == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
+def test_shards_of_long_texts_and_repeated_ids(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(sstable.default_tokenizer())
+    rows = [(5, f"text number {i}") for i in range(60)] + [(4, "word, " * 200_000), (6, "z" * 3_000)]
+    reads = [sorted(((r.start, r.id, tuple(r.ids)) for r in sstable.read_shards(sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(p))).collect())) for p in (1, 5)]
+    assert [x[1] for x in reads[0]] == sorted(r[0] for r in rows)
+    want = Counter((i, *tok.encode(t, add_special_tokens=False).ids, 1) for i, t in rows)
+    for got in reads:
+        assert Counter((i, *ids) for _, i, ids in got) == want
+
+
 def test_writer_refuses_keys_out_of_order():
     import io
 
