@@ -4,9 +4,10 @@
    others become revisits; only digests that occur twice are looked up.
 2. Each task writes one archive, a gzip member a record, and an index run: its captures sorted by URL key and timestamp,
    in chunks of ``CHUNK`` rows with a sparse table of first keys.
-3. The runs' sparse tables, a row for each chunk, give the key ranges of the merge. Each merge task opens the chunks of
-   every run that overlap its range as streams and merges them through a loser tree: log2(runs) comparisons a capture,
-   one chunk of each run in memory.
+3. While there are more than ``FAN_IN`` runs, groups of so many are merged into longer runs, a task a group. The sparse tables
+   of the runs left, a row for each chunk, give the key ranges of the last merge: its tasks open the chunks of every run
+   that overlap their range as streams and merge them through a loser tree. A merge opens at most ``FAN_IN`` files, makes
+   log2(``FAN_IN``) comparisons a capture, holds one chunk of each run and hands its captures on in batches.
 4. Records are read back at the merged index's offsets, file by file within a slice of it.
 
 All rows with a hot URL key are ordered by timestamp and page as well, and ranges are cut on the whole triple, so a hot
@@ -21,12 +22,13 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packspan.runtime import Cut, fresh_path, ship, table
@@ -34,6 +36,8 @@ from packspan.runtime import Cut, fresh_path, ship, table
 CHUNK = 1024
 #: Captures of a merge range, unless that leaves the cluster's cores idle.
 RANGE_ROWS = 1 << 20
+FAN_IN = 128  #: runs of a merge
+BATCH = 8_192  #: captures that a merge hands on at once
 BROADCAST_ROWS = 500_000
 _TAIL = struct.Struct("<QQ")
 #: Fixed values of the WARC 1.1 standard.
@@ -122,27 +126,75 @@ class LoserTree:
             self._play(i)
 
 
-# A capture in an index run: (url key, timestamp, page, archive offset, length); page None sorts first.
+# A capture in an index run: (url key, timestamp, page, archive, offset, length); page None sorts first.
 def _order(c: tuple) -> tuple:
     return c[0], c[1], c[2] is not None, c[2] or 0
 
 
 def _pack(rows: list[tuple]) -> bytes:
     keys = [r[0].encode() for r in rows]
-    nums = np.array([[r[1], r[2] or 0, r[2] is not None, r[3], r[4], len(k)] for r, k in zip(rows, keys, strict=True)], "<i8")
-    return zlib.compress(struct.pack("<I", len(rows)) + nums.tobytes() + b"".join(keys), 1)
+    archives = {a: i for i, a in enumerate(dict.fromkeys(r[3] for r in rows))}
+    nums = np.array([[r[1], r[2] or 0, r[2] is not None, archives[r[3]], r[4], r[5], len(k)] for r, k in zip(rows, keys, strict=True)], "<i8")
+    names = "\n".join(archives).encode()
+    return zlib.compress(struct.pack("<II", len(rows), len(names)) + names + nums.tobytes() + b"".join(keys), 1)
 
 
 def _unpack(raw: bytes) -> list[tuple]:
     raw = zlib.decompress(raw)
-    (n,) = struct.unpack_from("<I", raw)
-    at, out = 4 + 48 * n, []
-    for t, page, has, off, length, k in np.frombuffer(raw, "<i8", 6 * n, 4).reshape(n, 6).tolist():
-        out.append((raw[at : at + k].decode(), t, page if has else None, off, length))
+    n, size = struct.unpack_from("<II", raw)
+    names = raw[8 : 8 + size].decode().split("\n")
+    at, out = 8 + size + 56 * n, []
+    for t, page, has, archive, off, length, k in np.frombuffer(raw, "<i8", 7 * n, 8 + size).reshape(n, 7).tolist():
+        out.append((raw[at : at + k].decode(), t, page if has else None, names[archive], off, length))
         at += k
     return out
 
 
+_CHUNKS = ["run", "index", "chunk", "offset", "length", "n", "url_key", "ts", "page_id"]
+_CHUNKS_DDL = "run string, index string, chunk long, offset long, length long, n long, url_key string, ts long, page_id long"
+_CHUNK_KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+
+def _write_run(folder: str, captures: Iterable[tuple]) -> pa.RecordBatch:
+    """An index run of captures in order, and its chunk table."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    name, rows, at, part = uuid.uuid4().hex, [], 0, []
+    with fs.open_output_stream(f"{base}/{name}.idx", compression=None) as f:
+
+        def put() -> int:
+            packed = _pack(part)
+            f.write(packed)
+            rows.append((name, f"{folder}/{name}.idx", len(rows), at, len(packed), len(part), *part[0][:3]))
+            return at + len(packed)
+
+        for c in captures:
+            part.append(c)
+            if len(part) == CHUNK:
+                at, part = put(), []
+        if part:
+            put()
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CHUNK_KINDS, strict=True)], _CHUNKS)
+
+
+def _stream(chunks: list[dict]) -> Iterator[tuple]:
+    """Captures of a run's chunks, each as its order and the rest."""
+    fs, path = pafs.FileSystem.from_uri(chunks[0]["index"])
+    with fs.open_input_file(path) as f:
+        for p in chunks:
+            f.seek(p["offset"])
+            for c in _unpack(f.read(p["length"])):
+                yield (*_order(c), *c[3:])
+
+
+def _by_run(batches: Iterable[pa.RecordBatch]) -> tuple[list[list[dict]], dict]:
+    """A group's chunks in order, run by run, and its first row."""
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["run"], r["chunk"]))
+    runs: dict[str, list[dict]] = {}
+    for r in rows:
+        runs.setdefault(r["run"], []).append(r)
+    return list(runs.values()), rows[0]
+
+
 def _stamp(epoch: int) -> str:
     return str(np.datetime64(epoch, "s")) + "Z"
 
@@ -186,32 +238,52 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
                     raw = record(page, url, _stamp(when), "revisit" if to is not None else "response", digest, len(payload), payload, to, to_url)
                     packed = z.compress(raw) + z.flush()
                     out.write(packed)
-                    captures.append((url_key(url), when, page, at, len(packed)))
+                    captures.append((url_key(url), when, page, f"{folder}/{name}.warc.gz", at, len(packed)))
                     at += len(packed)
         if out is None:
             return
         out.close()
         captures.sort(key=_order)
-        table_rows, at = [], 0
-        with fs.open_output_stream(f"{base}/{name}.idx", compression=None) as f:
-            for i in range(0, len(captures), CHUNK):
-                part = captures[i : i + CHUNK]
-                packed = _pack(part)
-                f.write(packed)
-                table_rows.append((name, f"{folder}/{name}.warc.gz", f"{folder}/{name}.idx", i // CHUNK, at, len(packed), len(part), *part[0][:3]))
-                at += len(packed)
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*table_rows, strict=True), kinds, strict=True)], _CHUNKS)
-
-    schema = "run string, archive string, index string, chunk long, offset long, length long, n long, url_key string, ts long, page_id long"
-    return Cut(rows.mapInArrow(write, schema), "chunks").df
-
-
-_CHUNKS = ["run", "archive", "index", "chunk", "offset", "length", "n", "url_key", "ts", "page_id"]
+        yield _write_run(folder, captures)
+
+    return Cut(rows.mapInArrow(write, _CHUNKS_DDL), "chunks").df
+
+
 _INDEX = "range int, pos long, url_key string, ts long, page_id long, archive string, offset long, length long"
 
 
-def merged_index(chunks: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+def fewer_runs(chunks: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """The chunk tables of at most ``fan_in`` runs with the same captures: groups of runs are merged, as often as needed."""
+    spark = chunks.sparkSession
+    ship(spark)
+    while True:
+        # a row for each run
+        runs = chunks.select("run").distinct()
+        count = runs.count()
+        if count <= fan_in:
+            return chunks
+        folder = fresh_path(spark, "runs")
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        numbered = runs.select("run", F.floor((F.row_number().over(Window.orderBy("run")) - 1) / fan_in).cast("int").alias("grp"))
+
+        def merge(batches: Iterator[pa.RecordBatch], folder: str = folder) -> Iterator[pa.RecordBatch]:
+            parts, _ = _by_run(batches)
+            yield _write_run(folder, ((c[0], c[1], c[3] if c[2] else None, *c[4:]) for c in LoserTree([_stream(p) for p in parts])))
+
+        chunks = Cut(chunks.join(numbered, "run").groupBy("grp").applyInArrow(_one_argument(merge), _CHUNKS_DDL), "chunks").df
+
+
+def _one_argument(work):
+    """``work`` as a function of batches alone, in the form that grouped Arrow functions are told by."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+
+    return apply
+
+
+def merged_index(chunks: DataFrame, range_rows: int = RANGE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """The global index: captures of all runs in order of (url_key, ts, page_id), numbered by pos within ascending ranges.
 
     Ranges are cut at quantiles of the chunks' first triples, weighted alike, as chunks are of one size; a range so holds
@@ -219,6 +291,7 @@ def merged_index(chunks: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """
     spark = chunks.sparkSession
     ship(spark)
+    chunks = fewer_runs(chunks, fan_in)
     total = chunks.agg(F.sum("n")).first()[0] or 0
     cores = spark.sparkContext.defaultParallelism
     n = max(1, -(-total // range_rows), min(cores, -(-total // CHUNK)))
@@ -244,42 +317,29 @@ def merged_index(chunks: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
                 low = (r["url_key"], r["ts"], r["page_id"] is not None, r["page_id"] or 0)
                 a = bisect.bisect_right(cuts, low)
                 b = len(cuts) if r["next"] is None else bisect.bisect_right(cuts, tuple(r["next"].values()))
-                out += [(i, r["run"], r["archive"], r["index"], r["chunk"], r["offset"], r["length"]) for i in range(a, b + 1)]
+                out += [(i, r["run"], r["index"], r["chunk"], r["offset"], r["length"]) for i in range(a, b + 1)]
             if out:
-                kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["range", "run", "archive", "index", "chunk", "offset", "length"])
+                kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["range", "run", "index", "chunk", "offset", "length"])
 
-    placed = spans.mapInArrow(overlaps, "range int, run string, archive string, index string, chunk long, offset long, length long")
+    placed = spans.mapInArrow(overlaps, "range int, run string, index string, chunk long, offset long, length long")
 
-    def merge(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: (r["run"], r["chunk"]))
-        which = rows[0]["range"]
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, one = _by_run(batches)
+        which = one["range"]
         low, high = shared.value[0][which], shared.value[1][which]
-        runs: dict[str, list[dict]] = {}
-        for r in rows:
-            runs.setdefault(r["run"], []).append(r)
-
-        def stream(parts: list[dict]) -> Iterator[tuple]:
-            fs, path = pafs.FileSystem.from_uri(parts[0]["index"])
-            with fs.open_input_file(path) as f:
-                for p in parts:
-                    f.seek(p["offset"])
-                    for c in _unpack(f.read(p["length"])):
-                        o = _order(c)
-                        if (low is None or o >= low) and (high is None or o < high):
-                            yield (*o, p["archive"], c[3], c[4])
-
-        out = [(which, i, c[0], c[1], c[3] if c[2] else None, c[4], c[5], c[6]) for i, c in enumerate(LoserTree([stream(p) for p in runs.values()]))]
-        cols = list(zip(*out, strict=True)) if out else [()] * 8
+        inside = (c for c in LoserTree([_stream(p) for p in runs]) if (low is None or c[:4] >= low) and (high is None or c[:4] < high))
         kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["range", "pos", "url_key", "ts", "page_id", "archive", "offset", "length"])
+        pos = 0
+        while part := list(islice(inside, BATCH)):
+            rows = [(which, pos + i, c[0], c[1], c[3] if c[2] else None, *c[4:]) for i, c in enumerate(part)]
+            pos += len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "pos", "url_key", "ts", "page_id", "archive", "offset", "length"])
 
     return placed.groupBy("range").applyInArrow(merge, _INDEX)
 
 
 def _run_order():
-    from pyspark.sql import Window
-
     return Window.partitionBy("run").orderBy("chunk")
 
 

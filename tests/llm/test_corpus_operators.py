@@ -594,6 +594,19 @@ def test_warc_round_trip_with_revisits(spark):
     assert warc.read_captures(warc.merged_index(warc.write_archives(pages.limit(0)))).count() == 0
 
 
+@pytest.mark.parametrize("fan_in", [2, 3, 100])
+def test_warc_merges_in_passes(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(warc, "CHUNK", 4)
+    monkeypatch.setattr(warc, "BATCH", 5)
+    rows = [(i, f"http://h{i % 11}.example.com/{i % 3}", f"<p>{i % 40}</p>") for i in range(200)]
+    chunks = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(10))
+    assert chunks.select("run").distinct().count() == 10
+    assert warc.fewer_runs(chunks, fan_in).select("run").distinct().count() <= fan_in
+    got = sorted(warc.read_captures(warc.merged_index(chunks, range_rows=60, fan_in=fan_in)).collect(), key=lambda r: (r.range, r.pos))
+    assert [(r.url_key, r.ts, r.page_id) for r in got] == sorted((warc.url_key(u), 1_704_067_200 + i, i) for i, u, _ in rows)
+    assert {r.page_id for r in got if r.record_type == "response"} == set(range(40))
+
+
 def test_warc_over_the_table(spark, sf, monkeypatch):
     monkeypatch.setattr(warc, "CHUNK", 7)
     pages = {r.page_id: (r.html or "").encode() for r in table(spark, sf, "pages").collect()}
