@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from packspan.llm import decontam, language, learning, lookup, neardup, quality, registry, sentencepiece_fst, sharding, sstable, toxicity, vectors, warc
+from packspan.llm import decontam, language, learning, lookup, neardup, quality, registry, sentencepiece_fst, sharding, sstable, toxicity, vectors, warc, wordkernel
 from packspan.llm.components import components
 from packspan.llm.learning import remainder
 from packspan.runtime import table
@@ -143,7 +143,7 @@ def test_character_map_and_automaton():
     assert got == [(0, 2, 0), (0, 3, 1), (1, 2, 2), (3, 4, 2), (4, 6, 3)]
     assert sentencepiece_fst.character_map(b"") == {}
     keys = np.random.default_rng(0).permutation(5000).astype(np.int64) * 977
-    t = sentencepiece_fst.Table(keys, np.arange(5000, dtype=np.int32))
+    t = wordkernel.Table(keys, np.arange(5000, dtype=np.int32))
     assert (t.get(keys) == np.arange(5000)).all() and (t.get(keys + 1) == -1).all()
 
 
