@@ -184,7 +184,7 @@ def _marker(shared, kept: list[str], text_col: str, percent: int, every: bool):
             out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, kind)], [*kept, "bench_hits"])
             yield out if every else out.filter(pa.array([bool(x) for x in found], pa.bool_()))
 
-    return apply
+    return K.tidy(apply)
 
 
 def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -165,7 +165,7 @@ def train(docs: DataFrame, learn: Column, cfg: Config = Config()) -> Model | Non
     drawn = docs.select("doc_id", "lang").where(known).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.bound)
     sample = docs.select("doc_id", "lang", "text").where(known & F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id")
     sample = one_of_each(sample)
-    return fit_in_task(sample.select("lang", "text").mapInArrow(_sampled(cfg), "lang string, window binary"), lambda rows: fit_rows(rows, cfg))
+    return fit_in_task(sample.select("lang", "text").mapInArrow(K.tidy(_sampled(cfg)), "lang string, window binary"), lambda rows: fit_rows(rows, cfg))
 
 
 def fit_rows(rows: list[tuple[str, bytes]], cfg: Config = Config()) -> Model | None:
@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 probs.append(prob)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(np.concatenate(probs))], [*kept, "lang_pred", "lang_score"])
 
-    return docs.select(*kept).mapInArrow(apply, T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
+    return docs.select(*kept).mapInArrow(K.tidy(apply), T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
 
 
 def op3_language(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packspan.llm.wordkernel import tidy
+
 
 def remainder(column: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids count as 0."""
@@ -60,7 +62,7 @@ def one_of_each(rows: DataFrame) -> DataFrame:
 
     hashed = rows.withColumn("_hash", F.xxhash64("text"))
     schema = hashed.schema
-    return hashed.mapInArrow(apply, schema).repartition("doc_id").mapInArrow(apply, schema).select(*rows.columns)
+    return hashed.mapInArrow(tidy(apply), schema).repartition("doc_id").mapInArrow(tidy(apply), schema).select(*rows.columns)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -110,5 +112,5 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[tuple]], Any]) -> Any:
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(fit(rows)), 1)], pa.binary())], ["model"])
 
-    found = sample.repartition(1).mapInArrow(apply, "model binary").collect()
+    found = sample.repartition(1).mapInArrow(tidy(apply), "model binary").collect()
     return pickle.loads(zlib.decompress(found[0][0])) if found else fit([])

@@ -153,7 +153,7 @@ def _shape(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _sets_of(base: DataFrame, ids: DataFrame, k: int) -> Cut:
     """Whole sets of the documents named; repeated rows of an id count once."""
     named = Cut(ids.distinct(), "named")
-    sets = lookup.semi(base, named.df, "id", BROADCAST_ROWS).mapInArrow(_whole_sets(k), "id long, set array<long>")
+    sets = lookup.semi(base, named.df, "id", BROADCAST_ROWS).mapInArrow(K.tidy(_whole_sets(k)), "id long, set array<long>")
     out = Cut(sets, "sets")
     named.drop()
     return out
@@ -223,8 +223,8 @@ def _suspects(percent: int):
         sketch = _packed(t["sketch"])
         d, q = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         theirs, forest, out = sketch[d], _Forest(), []
-        for at in range(0, len(q), 16):
-            mine = q[at : at + 16]
+        for at in range(0, len(q), 4):
+            mine = q[at : at + 4]
             near = (_agreement(sketch[mine][:, None], theirs[None]) >= least) & (comp[mine][:, None] != comp[d][None])
             for i, j in zip(*np.nonzero(near), strict=True):
                 a, b = int(rep[mine[i]]), int(rep[d[j]])
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     base = _shape(docs, id_col, text_col)
     rows = band_rows(percent)
-    feats = Cut(base.mapInArrow(_features(k, rows), "id long, n long, f1 long, f2 long, bands array<long>, sketch binary"), "features")
+    feats = Cut(base.mapInArrow(K.tidy(_features(k, rows)), "id long, n long, f1 long, f2 long, bands array<long>, sketch binary"), "features")
     classes = Cut(
         feats.df.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("f1", "f2", "rep"),
         "classes",
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = buckets.df.where("size = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b")).union(shared.df.where("rep <> b").select(F.col("rep").alias("a"), "b")).distinct()
     sketches = reps.select("rep", "sketch")
     both = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-    pairs = Cut(both.mapInArrow(_likely(percent), "a long, b long"), "pairs")
+    pairs = Cut(both.mapInArrow(K.tidy(_likely(percent)), "a long, b long"), "pairs")
     ids = pairs.df.select(F.col("a").alias("id")).union(pairs.df.select(F.col("b").alias("id")))
     sets = _sets_of(base, ids, k)
     links = Cut(_verify(pairs.df, sets.df, percent), "verified")
@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         c.drop()
     if docs.schema[id_col].nullable:
         nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        counted = nameless.mapInArrow(_features(k, rows), "id long, n long, f1 long, f2 long, bands array<long>, sketch binary")
+        counted = nameless.mapInArrow(K.tidy(_features(k, rows)), "id long, n long, f1 long, f2 long, bands array<long>, sketch binary")
         out = out.union(counted.select("id", "n", F.lit(None).cast("long"), F.lit(True)))
     return out
 
@@ -367,7 +367,7 @@ def audit(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
     comp = found.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "component_id")
     several = comp.groupBy("component_id").agg(F.count(F.lit(1)).alias("c"))
     drawn = comp.join(several, "component_id").orderBy(F.col("c") > 1, F.xxhash64("id"), ascending=[False, True]).limit(sample).select("id", "component_id")
-    chosen = [(r.id, r.component_id, np.array(r.set, np.int64)) for r in base.join(F.broadcast(drawn.select("id")), "id", "left_semi").mapInArrow(_whole_sets(k), "id long, set array<long>").join(F.broadcast(drawn), "id").collect()]
+    chosen = [(r.id, r.component_id, np.array(r.set, np.int64)) for r in base.join(F.broadcast(drawn.select("id")), "id", "left_semi").mapInArrow(K.tidy(_whole_sets(k)), "id long, set array<long>").join(F.broadcast(drawn), "id").collect()]
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

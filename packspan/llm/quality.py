@@ -167,7 +167,7 @@ def fit(sample: list[tuple[int, bytes]], cfg: Config = Config()) -> Model:
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, cfg: Config = Config()) -> Model:
     """Fit on at most ``cfg.bound`` labelled rows that ``learn`` admits."""
     ship(docs.sparkSession)
-    sample = labelled_sample(docs, labels, label, learn, cfg.bound).mapInArrow(_features, "y int, ids binary")
+    sample = labelled_sample(docs, labels, label, learn, cfg.bound).mapInArrow(K.tidy(_features), "y int, ids binary")
     return fit_in_task(sample, lambda rows: fit(rows, cfg))
 
 
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             z = np.array([m.margin(ids) for run in K.runs(batch.column(text)) for ids in indicators(run)], float)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sigmoid(m.slope * z + m.offset))], [*kept, "quality_score"])
 
-    return docs.select(*kept).mapInArrow(apply, T.StructType([docs.schema[c] for c in kept] + [T.StructField("quality_score", T.DoubleType())]))
+    return docs.select(*kept).mapInArrow(K.tidy(apply), T.StructType([docs.schema[c] for c in kept] + [T.StructField("quality_score", T.DoubleType())]))
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

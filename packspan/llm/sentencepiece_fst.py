@@ -542,7 +542,7 @@ def encode(docs: DataFrame, model_file: str | None = None, text_col: str = "text
                     new.insert(0, pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(run.lo, run.hi - run.lo) for c in kept), *new], [*kept, *(f.name for f in added)])
 
-    return docs.select(*kept).mapInArrow(apply, T.StructType([docs.schema[c] for c in kept] + added))
+    return docs.select(*kept).mapInArrow(K.tidy(apply), T.StructType([docs.schema[c] for c in kept] + added))
 
 
 def decode(rows: DataFrame, model_file: str | None = None, ids_col: str = "sp_ids") -> DataFrame:

@@ -25,6 +25,7 @@ import json
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -225,9 +226,9 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.first: list[int] = [0]
-        self.arena, self.end = np.zeros(1 << 16, np.int32), 0
+        self.known: dict[int, int] = {}  #: segments by hash
+        self.first = np.zeros(1 << 12, np.int64)  #: where each segment's ids begin, and one more
+        self.arena = np.zeros(1 << 16, np.int32)
 
     def encode_run(self, run: K.Run) -> tuple[np.ndarray, np.ndarray]:
         if not self.segmented:
@@ -254,29 +255,30 @@ class Encoder:
         ends = np.append(starts[1:], n)
         solid = kind[starts] != 0
         starts, ends = starts[solid], ends[solid]
-        _, index, inverse = np.unique(K.segment_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        raw = raw if plain else data.tobytes()
-        keys = [raw[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
-        self._learn([k for k in keys if k not in self.known])
-        number = np.array([self.known[k] for k in keys], np.int64)
-        first = np.array(self.first)
-        begin, count = first[number], first[number + 1] - first[number]
+        hashes, index, inverse = np.unique(K.segment_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        number = np.fromiter((self.known.get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            raw = raw if plain else data.tobytes()
+            at = index[fresh]
+            number[fresh] = self._learn(hashes[fresh].tolist(), [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        begin, count = self.first[number], self.first[number + 1] - self.first[number]
         ids, bounds = ragged(self.arena, begin[inverse], count[inverse])
         return ids, bounds[np.searchsorted(starts, run.offsets)]
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        if not fresh:
-            return
-        encoded = self.tokenizer.encode_batch_fast([k.decode("utf-8", "replace") for k in fresh], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        total = sum(map(len, ids))
-        if self.end + total > len(self.arena):
-            self.arena = np.concatenate([self.arena, np.zeros(max(len(self.arena), total), np.int32)])
-        for k, x in zip(fresh, ids, strict=True):
-            self.arena[self.end : self.end + len(x)] = x
-            self.end += len(x)
-            self.known[k] = len(self.first) - 1
-            self.first.append(self.end)
+    def _learn(self, hashes: list[int], segments: list[str]) -> np.ndarray:
+        """Numbers of new segments, whose ids are kept."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        n = len(self.known)
+        ends = self.first[n] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        if n + len(ids) + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros(max(len(self.first), len(ids)), np.int64)])
+        self.first[n + 1 : n + 1 + len(ids)] = ends
+        if ends[-1] > len(self.arena):
+            self.arena = np.concatenate([self.arena, np.zeros(max(len(self.arena), int(ends[-1])), np.int32)])
+        self.arena[self.first[n] : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1] - self.first[n]))
+        self.known.update(zip(hashes, range(n, n + len(ids)), strict=True))
+        return np.arange(n, n + len(ids))
 
 
 #: 0 white space, 1 ASCII letter, 2 ASCII mark, 4 the rest (digits, apostrophe, non-ASCII).
@@ -367,7 +369,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, tokenizer_file: str
         cols = list(zip(*made, strict=True)) if made else [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["bucket", "path", "docs", "ids"])
 
-    return Cut(rows.mapInArrow(write, "bucket int, path string, docs long, ids long"), "manifest").df
+    return Cut(rows.mapInArrow(K.tidy(write), "bucket int, path string, docs long, ids long"), "manifest").df
 
 
 def read_shards(manifest: DataFrame, keep_ids: bool = True) -> DataFrame:
@@ -409,7 +411,7 @@ def read_shards(manifest: DataFrame, keep_ids: bool = True) -> DataFrame:
         return pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    return files.df.repartition(n).mapInArrow(read, schema)
+    return files.df.repartition(n).mapInArrow(K.tidy(read), schema)
 
 
 def op7_sstable(spark, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ class Config:
     context: int = 12  #: tokens on each side of a toxic training token that every step sees
     portions: int = 16  #: of the tokens further away; each step sees one
     passes: int = 2  #: fits; the first one leaves tokens of toxic documents open that no test has told
-    steps: int = 120
+    steps: int = 120  #: of each pass
     least: float = 0.01  #: weights of words that don't reach it count 0
     threshold: float = 0.3
 
@@ -201,10 +201,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_labels(docs: list[np.ndarray], y: np.ndarray, cfg: Config) -> list[np.ndarray]:
     """Which tokens of each document are TOXIC, from the documents' labels."""
     rows = [np.unique(d) for d in docs]
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-    words, inverse = np.unique(flat, return_inverse=True)
-    seen = np.bincount(inverse, minlength=len(words))
-    toxic = np.bincount(inverse, weights=np.repeat(y, [len(r) for r in rows]), minlength=len(words)).astype(int)
+    words = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.uint64)
+    seen, toxic = np.zeros(len(words), int), np.zeros(len(words), int)
+    for r, label in zip(rows, y, strict=True):
+        at = np.searchsorted(words, r)
+        seen[at] += 1
+        toxic[at] += int(label)
     chosen = words[_toxic_words(seen, toxic, y, cfg)]
     return [np.isin(d, chosen) & bool(t) for d, t in zip(docs, y, strict=True)]
 
@@ -253,23 +255,21 @@ def _near(tag: np.ndarray, context: int) -> np.ndarray:
 
 def _train(model: Model, docs: list[np.ndarray], tags: list[np.ndarray], told: list[np.ndarray], cfg: Config) -> None:
     """Fit to the tokens that ``told`` marks. Chains are the stretches near toxic tokens, and those between them."""
-    used, flat = np.unique(np.concatenate(docs), return_inverse=True)  # only words that occur are fitted
+    used = np.unique(np.concatenate([np.unique(d) for d in docs]))  # only words that occur are fitted
+    flat = np.concatenate([np.searchsorted(used, d).astype(np.int32) for d in docs])
     first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-    tag, known = np.concatenate(tags).astype(float), np.concatenate(told)
+    tag, known = np.concatenate(tags), np.concatenate(told)
     near = np.concatenate([_near(t, cfg.context) for t in tags])
     head = np.zeros(len(flat), bool)
     head[first[:-1][first[:-1] < len(flat)]] = True
     head[1:] |= near[1:] != near[:-1]
-    chain = np.cumsum(head) - 1
-    portion = np.where(near, -1, chain % cfg.portions)
-    always = np.flatnonzero(portion < 0)
-    parts = [np.sort(np.concatenate([always, np.flatnonzero(portion == k)])) for k in range(cfg.portions)]
+    portion = np.where(near, -1, (np.cumsum(head, dtype=np.int32) - 1) % cfg.portions).astype(np.int8)
     size = len(used) + 1
     theta = [np.zeros((3, size)), np.array(-4.0), np.zeros((2, 2)), np.zeros(2)]
     low, high = [np.zeros_like(v) for v in theta], [np.zeros_like(v) for v in theta]
     for step in range(1, cfg.steps + 1):
-        at = parts[step % cfg.portions]
-        idx, state, sure, begin = flat[at], tag[at], known[at], head[at]
+        at = np.flatnonzero((portion < 0) | (portion == step % cfg.portions))
+        idx, state, sure, begin = flat[at], tag[at].astype(float), known[at], head[at]
         inside = ~begin[1:]
         trans, start = theta[2], theta[3]
         p, joint = forward_backward(potentials(theta[0], float(theta[1]), idx, begin), begin, trans, start, pairs=True)
@@ -277,9 +277,8 @@ def _train(model: Model, docs: list[np.ndarray], tags: list[np.ndarray], told: l
         d = target - p
         grad = [np.zeros((3, size)), d.sum(), np.zeros((2, 2)), np.zeros(2)]
         both = inside & sure[1:] & sure[:-1]
-        pair = joint * both  # of the pairs whose labels are known
         np.add.at(grad[2], (state[:-1][both].astype(int), state[1:][both].astype(int)), 1)
-        grad[2] -= pair.sum(2)
+        grad[2] -= (joint * both).sum(2)  # of the pairs whose labels are known
         first_sure = begin & sure
         grad[3] += np.bincount(state[first_sure].astype(int), minlength=2) - np.array([(1 - p)[first_sure].sum(), p[first_sure].sum()])
         grad[0][0] = np.bincount(idx, weights=d, minlength=size)
@@ -304,12 +303,15 @@ def _logit_any(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _document_logits(model: Model, docs: list[np.ndarray]) -> np.ndarray:
-    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-    head = np.zeros(int(first[-1]), bool)
-    head[first[:-1][first[:-1] < first[-1]]] = True
-    h = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
-    p, _ = forward_backward(model.emissions(h, head), head, model.trans, model.start)
-    return _logit_any(p, first)
+    out = [np.zeros(0)]
+    for lo in range(0, len(docs), 256):
+        part = docs[lo : lo + 256]
+        first = np.concatenate([[0], np.cumsum([len(d) for d in part])])
+        head = np.zeros(int(first[-1]), bool)
+        head[first[:-1][first[:-1] < first[-1]]] = True
+        p, _ = forward_backward(model.emissions(np.concatenate(part), head), head, model.trans, model.start)
+        out.append(_logit_any(p, first))
+    return np.concatenate(out)
 
 
 def tag_run(model: Model, run: K.Run) -> tuple[np.ndarray, list[list[dict]]]:
@@ -336,7 +338,7 @@ def tag_run(model: Model, run: K.Run) -> tuple[np.ndarray, list[list[dict]]]:
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, cfg: Config = Config()) -> Model:
     """Fit on at most ``cfg.bound`` labelled rows that ``learn`` admits."""
     ship(docs.sparkSession)
-    sample = labelled_sample(docs, labels, label, learn, cfg.bound).mapInArrow(_features, "y int, tokens binary, sketch binary")
+    sample = labelled_sample(docs, labels, label, learn, cfg.bound).mapInArrow(K.tidy(_features), "y int, tokens binary, sketch binary")
     return fit_in_task(sample, lambda rows: fit(rows, cfg))
 
 
@@ -369,7 +371,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     from pyspark.sql import types as T
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("tox_score", T.DoubleType()), T.StructField("tox_flag", T.BooleanType()), T.StructField("tox_spans", T._parse_datatype_string(SPANS))])
-    return docs.select(*kept).mapInArrow(apply, schema)
+    return docs.select(*kept).mapInArrow(K.tidy(apply), schema)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
