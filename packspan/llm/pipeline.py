@@ -13,7 +13,8 @@ from packspan.llm import decontam, language, lookup, neardup, sentencepiece_fst,
 from packspan.llm.learning import remainder
 from packspan.runtime import Cut, table
 
-#: A document goes if no language reaches this probability over its whole text.
+#: A document goes if no language reaches this probability over its whole text. Of the 1,960 held-out documents at sf0.1 none
+#: is below 0.5, and two (of one word) are below 0.6: the bar leaves clean short texts room.
 LANGUAGE_SHARE = 0.4
 
 
@@ -52,7 +53,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids, their number and crc32, and whether they decode to the text."""
-    encoded = sentencepiece_fst.encode(docs)
+    encoded = sentencepiece_fst.encode(docs, carry=["doc_id", "lang", "source"])  # the text ends here
     return encoded.select("doc_id", "lang", "source", F.col("sp_ids").alias("ids"), F.col("sp_tokens").alias("n_tokens"), F.col("sp_crc32").alias("ids_crc32"), F.col("sp_same").alias("round_trip"))
 
 

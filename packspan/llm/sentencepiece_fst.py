@@ -38,7 +38,7 @@ from packspan.llm import wordkernel as K
 from packspan.runtime import ship, table
 
 MARK = "▁"
-SLICE = 1 << 20  #: bytes of text whose distinct chunks are composed at once
+SLICE = 1 << 19  #: bytes of text whose distinct chunks are composed at once
 LONG = 96
 WINDOW = 1 << 16
 PAIR_BITS = 19  #: slots for arcs of the constraint
@@ -85,7 +85,7 @@ class Automaton:
             number = self.accept[state]
             hit = number >= 0
             starts.append(at[hit])
-            ends.append(at[hit] + depth)
+            ends.append(at[hit] + at.dtype.type(depth))
             numbers.append(number[hit])
             inside = at + depth < stop
             at, stop = at[inside], stop[inside]
@@ -347,12 +347,12 @@ class Machine:
     def paths(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the shortest paths of chunks data[first[k]:first[k + 1]], one after another, and where each chunk's begin."""
         n = len(data)
-        starts = np.flatnonzero((data & 0xC0) != 0x80)
-        after = np.full(n + 1, n, np.int64)
+        starts, first = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32), first.astype(np.int32)
+        after = np.full(n + 1, n, np.int32)
         after[starts[:-1]] = starts[1:]
         size = np.diff(first)
         after[starts] = np.minimum(after[starts], np.repeat(first[1:], size)[starts])
-        via, back = np.full(n + 1, _NONE, np.int32), np.zeros(n + 1, np.int64)
+        via, back = np.full(n + 1, _NONE, np.int32), np.zeros(n + 1, np.int32)
         chunk = np.repeat(np.arange(len(size), dtype=np.int32), size)  # of each byte
         self._short(data, first, chunk, starts[(size <= LONG)[chunk[starts]]], after, via, back)
         for k in np.flatnonzero(size > LONG).tolist():
@@ -394,7 +394,7 @@ class Machine:
         place = (start - first[chunk[start]]).astype(np.uint8)
         order = np.argsort(place, kind="stable")  # by counting
         start, end, piece = start[order], end[order], piece[order]
-        weight, edge = self.arc_weights(piece), np.searchsorted(place[order], np.arange(int(place.max()) + 2))
+        edge = np.searchsorted(place[order], np.arange(int(place.max()) + 2))
         cost = np.full(len(data) + 1, np.inf)
         begins = np.zeros(len(data) + 1, bool)  # a chunk's begin may be the end of the one before
         begins[first[chunk[at]]] = True
@@ -402,7 +402,7 @@ class Machine:
             if a == b:
                 continue
             s, e, p = start[a:b], end[a:b], piece[a:b]
-            c = np.where(begins[s], 0.0, cost[s]) + weight[a:b]
+            c = np.where(begins[s], 0.0, cost[s]) + self.arc_weights(p)
             better = c < cost[e]
             if self.merges is not None:
                 better = np.flatnonzero(better)
@@ -509,8 +509,8 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, model_file: str | None = None, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """All columns of ``docs`` and ``sp_ids`` array<int>, ``sp_crc32`` long, ``sp_tokens`` long and ``sp_same`` boolean.
+def encode(docs: DataFrame, model_file: str | None = None, text_col: str = "text", keep_ids: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all unless given) and ``sp_ids`` array<int>, ``sp_crc32`` long, ``sp_tokens`` long and ``sp_same`` boolean.
 
     ``sp_ids`` are the ids of the whole text without begin and end marks (left out unless ``keep_ids``), ``sp_crc32``
     the unsigned crc32 of them as little-endian unsigned 32-bit integers, ``sp_same`` whether decoding them gives the
@@ -521,12 +521,12 @@ def encode(docs: DataFrame, model_file: str | None = None, text_col: str = "text
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Machine(model_file or default_model()))
     added = [T.StructField("sp_ids", T.ArrayType(T.IntegerType())), T.StructField("sp_tokens", T.LongType()), T.StructField("sp_crc32", T.LongType()), T.StructField("sp_same", T.BooleanType())][0 if keep_ids else 1 :]
-    kept = [c for c in docs.columns if c not in ("sp_ids", "sp_tokens", "sp_crc32", "sp_same")]
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in ("sp_ids", "sp_tokens", "sp_crc32", "sp_same")]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for run in K.runs(batch.column(text_col)):
+            for run in K.runs(batch.column(text_col), SLICE):
                 ids, first = m.encode_run(run)
                 back, offsets = m.decode_run(ids, first)
                 same = np.diff(offsets) == np.diff(run.offsets)
@@ -541,8 +541,9 @@ def encode(docs: DataFrame, model_file: str | None = None, text_col: str = "text
                 if keep_ids:
                     new.insert(0, pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(run.lo, run.hi - run.lo) for c in kept), *new], [*kept, *(f.name for f in added)])
+            K.give_back()
 
-    return docs.select(*kept).mapInArrow(K.tidy(apply), T.StructType([docs.schema[c] for c in kept] + added))
+    return docs.select(*dict.fromkeys([*kept, text_col])).mapInArrow(K.tidy(apply), T.StructType([docs.schema[c] for c in kept] + added))
 
 
 def decode(rows: DataFrame, model_file: str | None = None, ids_col: str = "sp_ids") -> DataFrame:
@@ -566,4 +567,4 @@ def decode(rows: DataFrame, model_file: str | None = None, ids_col: str = "sp_id
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, keep_ids=False).select("doc_id", F.col("sp_tokens").alias("n_tokens"), F.col("sp_crc32").alias("ids_crc32"), F.col("sp_same").alias("round_trip"))
+    return encode(docs, keep_ids=False, carry=["doc_id"]).select("doc_id", F.col("sp_tokens").alias("n_tokens"), F.col("sp_crc32").alias("ids_crc32"), F.col("sp_same").alias("round_trip"))
